@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate as decon
+from . import substrings
 from .textops import table
 
 
@@ -12,7 +13,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decon.digest(decon.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.removals(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op8_substring_dedup)}
 
 
 def all_queries() -> dict:
