@@ -196,7 +196,7 @@ def scan(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
     automaton. With more, each shard of items is a map of its own, and the hits
     (few rows) are merged by document.
     """
-    X.tune_batches(docs.sparkSession)
+    X.prepare(docs.sparkSession)
     shards = item_shards(items, item_id, item_text, shard_words)
     if len(shards) == 1:
         return _scan_one(docs, [id_col], text_col, next(iter(shards)), window)
@@ -225,7 +225,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
 
     All columns are kept; n_chars, where there is one, is counted anew for texts that changed.
     """
-    X.tune_batches(docs.sparkSession)
+    X.prepare(docs.sparkSession)
     for items_k in item_shards(items, item_id, item_text, shard_words):
         docs = _remove_one(docs, text_col, items_k, window, max_coverage)
     return docs

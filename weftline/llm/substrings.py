@@ -6,12 +6,12 @@ with a smaller id. All documents are each other's reference, so the corpus is
 cut into reference shards first, such that a window and all its copies meet in
 one shard and most text meets none:
 
-1. Every window has an anchor, the smallest hash of the 5-grams in it. Anchors
+1. Every window has an anchor, the smallest hash of the 4-grams in it. Anchors
    in one document only (an aggregate with map-side combine) are dropped.
 2. Neighbouring windows with one anchor are a segment. Equal segments are
-   aggregated to one with its smallest document: a segment of a later document
-   goes whole. So exact copies, however many, end here.
-3. Different segments of one anchor are a part of a reference shard. A suffix
+   aggregated by hash to one with its smallest document: a segment of a later
+   document goes whole. So exact copies, however many, end here.
+3. The different segments of one anchor are a part of a reference shard. A suffix
    automaton of them, with the smallest document of each state, is built; each
    segment is streamed through it, and matching statistics of 13 words or more
    whose state has a smaller document mark its windows.
@@ -37,12 +37,14 @@ from pyspark.sql import functions as F
 from . import textops as X
 from .automaton import SuffixAutomaton
 
-GRAM = 5
+GRAM = 4
 #: Windows in a segment at most (bits of its mask).
 SEGMENT = 32
 #: Words of reference segments in one automaton, more only if one anchor has more.
 SHARD_WORDS = 20_000
 HOT_DOCS = 2_000
+#: Bits of an anchor that are dropped: anchors only bring candidates together, so shorter ones cost nothing but a few of them.
+SHORT = 12
 
 _U = np.uint64
 
@@ -60,7 +62,7 @@ def _windows(data, offsets, window):
         have += step
     rows = X.row_of(bounds)
     valid = np.arange(count) + window <= bounds[1:][rows[:count]]
-    return starts, ends, bounds, words, rows, low[:count], valid
+    return starts, ends, bounds, words, rows, low[:count] >> _U(SHORT), valid
 
 
 def _runs(anchor, rows, valid):
@@ -92,71 +94,99 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "a long, d long")
 
 
-SEGMENTS = pa.schema([("a", pa.int64()), ("s", pa.int64()), ("d", pa.int64()), ("h", pa.int64()), ("p", pa.int32()), ("n", pa.int32()), ("seg", pa.binary())])
+def _parts(words, at, size, window):
+    """Of runs the segments of SEGMENT windows at most: first and end window, and a hash of the words."""
+    parts = -(-size // SEGMENT)
+    first = np.repeat(at, parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * SEGMENT
+    end = np.minimum(first + SEGMENT, np.repeat(at + size, parts))
+    if not len(first):
+        return first, end, np.zeros(0, _U)
+    width = end - first + window - 1
+    cut = np.cumsum(width) - width
+    within = np.arange(width.sum()) - np.repeat(cut, width)
+    terms = X.mix(words[np.repeat(first, width) + within] + (within.astype(_U) + _U(1)) * _U(0xA0761D6478BD642F))
+    return first, end, X.mix(np.add.reduceat(terms, cut))
+
+
+def _single(words, window):
+    """Two hashes of every window by itself."""
+    return X.gram_hashes(words, window), X.gram_hashes(words ^ _U(0x5851F42D4C957F2D), window)
+
+
+def _listed(lists, r0, rows):
+    """Of the rows' lists of hashes: each with its row worked in, and the flat values' slice."""
+    part = lists.slice(r0, rows)
+    sizes = np.diff(part.offsets.to_numpy()[: rows + 1])
+    return _at(np.repeat(np.arange(rows), sizes), part.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(_U))
+
+
+def _at(row, value):
+    return value ^ X.mix(row.astype(_U) + _U(1))
 
 
 def _segments(marked: DataFrame, window: int) -> DataFrame:
-    """(a, s, d, h, p, n, seg): segments of anchors that other documents have too; those of hot anchors by window, without words."""
+    """(a, s, d): segments of anchors that other documents have too; those of hot anchors by window."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, text_hash = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            lists, hot_lists = b.column(3), b.column(4)
-            for r0, data, offsets in X.chunks(b.column(2)):
-                starts, ends, bounds, words, rows, anchor, valid = _windows(data, offsets, window)
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for r0, data, offsets in X.chunks(b.column(1)):
+                *_, words, rows, anchor, valid = _windows(data, offsets, window)
                 at, size = _runs(anchor, rows, valid)
                 if not len(at):
                     continue
-                key = anchor[at] ^ X.mix(rows[at].astype(_U) + _U(1))
-
-                def listed(lists, key=key, r0=r0, n=len(offsets) - 1):
-                    part = lists.slice(r0, n)
-                    values = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
-                    sizes = np.diff(part.offsets.to_numpy()) if len(part) else np.zeros(0, np.int64)
-                    return np.isin(key, values ^ X.mix(np.repeat(np.arange(n), sizes).astype(_U) + _U(1)))
-
-                hot, cold = listed(hot_lists), listed(lists)
-                out = {c: [] for c in SEGMENTS.names}
-                long_at, long_size = at[cold], size[cold]
-                parts = -(-long_size // SEGMENT)
-                first = np.repeat(long_at, parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * SEGMENT
-                last = np.minimum(first + SEGMENT, np.repeat(long_at + long_size, parts))
-                if len(first):
-                    # words first ... last + window - 2 of each: hash by the words and their order
-                    width = last - first + window - 1
-                    which = np.repeat(np.arange(len(first)), width)
-                    within = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-                    terms = X.mix(words[first[which] + within] + (within.astype(_U) + _U(1)) * _U(0xA0761D6478BD642F))
-                    s = X.mix(np.add.reduceat(terms, np.cumsum(width) - width))
-                    r = rows[first]
-                    raw = data.tobytes()
-                    seg = [b" ".join(raw[x:y].split()) for x, y in zip(starts[first].tolist(), ends[last + window - 2].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(X.signed(anchor[first])), pa.array(X.signed(s)), pa.array(ids[r0 + r]), pa.array(text_hash[r0 + r]), pa.array((first - bounds[r]).astype(np.int32)), pa.array((last - first).astype(np.int32)), pa.array(seg, pa.binary())], schema=SEGMENTS)
+                key, many = _at(rows[at], anchor[at]), len(offsets) - 1
+                cold, hot = (np.isin(key, _listed(b.column(c), r0, many)) for c in (2, 3))
+                first, _, s = _parts(words, at[cold], size[cold], window)
+                a, d = anchor[first], ids[r0 + rows[first]]
                 if hot.any():
                     sizes = size[hot]
                     p = np.repeat(at[hot], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    one = X.gram_hashes(words, window)[p]
-                    two = X.gram_hashes(words ^ _U(0x5851F42D4C957F2D), window)[p]
-                    r = rows[p]
-                    yield pa.RecordBatch.from_arrays([pa.array(X.signed(one)), pa.array(X.signed(two)), pa.array(ids[r0 + r]), pa.array(text_hash[r0 + r]), pa.array((p - bounds[r]).astype(np.int32)), pa.array(np.ones(len(p), np.int32)), pa.array([b""] * len(p), pa.binary())], schema=SEGMENTS)
+                    one, two = (x[p] for x in _single(words, window))
+                    a, s, d = np.concatenate([a, one]), np.concatenate([s, two]), np.concatenate([d, ids[r0 + rows[p]]])
+                yield pa.RecordBatch.from_arrays([pa.array(X.signed(a)), pa.array(X.signed(s)), pa.array(d, pa.int64())], names=["a", "s", "d"])
+
+    return marked.mapInArrow(run, "a long, s long, d long")
+
+
+def _segment_words(asked: DataFrame, window: int) -> DataFrame:
+    """(a, s, m, seg): the words of the segments that are asked for (hashes in the third column), each once a document."""
 
-    return marked.mapInArrow(run, "a long, s long, d long, h long, p int, n int, seg binary")
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for r0, data, offsets in X.chunks(b.column(1)):
+                starts, ends, _, words, rows, anchor, valid = _windows(data, offsets, window)
+                first, end, s = _parts(words, *_runs(anchor, rows, valid), window)
+                if not len(first):
+                    continue
+                key = _at(rows[first], s)
+                _, once = np.unique(key, return_index=True)
+                pick = once[np.isin(key[once], _listed(b.column(2), r0, len(offsets) - 1))]
+                first, end, s, raw = first[pick], end[pick], s[pick], data.tobytes()
+                seg = [b" ".join(raw[x:y].split()) for x, y in zip(starts[first].tolist(), ends[end + window - 2].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(X.signed(anchor[first])), pa.array(X.signed(s)), pa.array(ids[r0 + rows[first]], pa.int64()), pa.array(seg, pa.binary())], names=["a", "s", "m", "seg"])
+
+    return asked.mapInArrow(run, "a long, s long, m long, seg binary")
 
 
-def _shard_masks(firsts: DataFrame, window: int) -> DataFrame:
-    """(a, s, m, mask): of each different segment its smallest document and the windows that a smaller one has."""
+def _shard_masks(segments: DataFrame, window: int) -> DataFrame:
+    """(s, mask): of the different segments of shared anchors, sorted by anchor, the windows that a smaller document has."""
 
-    def solve(groups):
+    def solve(segments):
         """Build the automaton of some anchors' segments and stream them through it."""
         sam = SuffixAutomaton()
-        segments = [(k, m, seg.split()) for group in groups for k, m, seg in group]
+        segments = [(s, m, seg.split()) for s, m, seg in segments]
         for _, m, words in segments:
             sam.add(words, m)
         sam.settle()
         link, length, owners = sam.link, sam.length, sam.owners
-        for k, m, words in segments:
+        found = []
+        for s, m, words in segments:
             mask = 0
             for i, (state, n) in enumerate(sam.walk(words)):
                 if n >= window:
@@ -165,90 +195,106 @@ def _shard_masks(firsts: DataFrame, window: int) -> DataFrame:
                     if owners[state] < m:
                         mask |= 1 << (i - window + 1)
             if mask:
-                yield k, mask
+                found.append((s, mask))
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["s", "mask"])
 
     def run(batches):
-        pending, words, group, current, masks = [], 0, [], None, {}
-        rows = []
-
-        def flush():
-            nonlocal pending, words, rows
-            masks = dict(solve(pending)) if pending else {}
-            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([masks.get(r[:2], 0) for r in rows], pa.int64())], names=["a", "s", "m", "mask"])
-            pending, words, rows = [], 0, []
-            return out
-
-        def close():
-            nonlocal pending, words, group
-            if len(group) > 1:
-                pending.append(group)
-                words += sum(len(g[2]) // 6 + 1 for g in group)
-            group = []
-
+        shard, words, current = [], 0, None
         for b in batches:
             for a, s, m, seg in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if a != current:
-                    close()
-                    current = a
-                    if words >= SHARD_WORDS or len(rows) >= 50_000:
-                        yield flush()
-                rows.append((a, s, m))
-                if seg:
-                    group.append(((a, s), m, seg))
-        close()
-        if rows:
-            yield flush()
+                if a != current and words >= SHARD_WORDS:
+                    yield solve(shard)
+                    shard, words = [], 0
+                current = a
+                shard.append((s, m, seg))
+                words += seg.count(b" ") + 1
+        if shard:
+            yield solve(shard)
 
-    return firsts.mapInArrow(run, "a long, s long, m long, mask long")
+    return segments.mapInArrow(run, "s long, mask long")
 
 
 def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, hot_docs: int = HOT_DOCS) -> DataFrame:
-    """(doc_id, text, marks) of each row; marks: array of (h, p, mask), the windows at words p, p + 1, ... that go, for the row whose text has xxhash64 h."""
+    """(doc_id, text, gone) of each row; gone: array of (s, mask), the hashes of its segments with the windows that go, -1 for all."""
     spark = docs.sparkSession
-    X.tune_batches(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    X.prepare(spark)
+    base = docs.select(X.column(docs, id_col, "doc_id", "bigint"), X.column(docs, text_col, "text", "string"))
     known = base.where(F.col("doc_id").isNotNull())
     occurrences = _anchors(known, window)
     repeated = occurrences.groupBy("a").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("docs")).where("lo < hi").select("a", (F.col("docs") > hot_docs).alias("hot"))
     marks = occurrences.join(repeated, "a").groupBy("d").agg(F.collect_list(F.when(~F.col("hot"), F.col("a"))).alias("cold_a"), F.collect_list(F.when(F.col("hot"), F.col("a"))).alias("hot_a"))
-    marked = base.join(marks.withColumnRenamed("d", "doc_id"), "doc_id").select("doc_id", F.xxhash64("text").alias("h"), "text", "cold_a", "hot_a")
+    # the texts are shuffled once: the three joins with them have one exchange
+    marked = known.join(marks.withColumnRenamed("d", "doc_id"), "doc_id")
     segments = _segments(marked, window)
-    firsts = segments.groupBy("a", "s", "seg").agg(F.min("d").alias("m")).select("a", "s", "m", "seg")
-    masks = _shard_masks(firsts.repartition(X.scaled_partitions(spark), "a").sortWithinPartitions("a"), window)
-    full = F.expr("case when d > m then shiftleft(1L, n) - 1 else mask end")
-    gone = segments.select("a", "s", "d", "h", "p", "n").join(masks, ["a", "s"]).withColumn("mask", full).where("mask != 0").groupBy("d").agg(F.collect_list(F.struct("h", "p", "mask")).alias("marks"))
-    return base.join(gone.withColumnRenamed("d", "doc_id"), "doc_id", "left")
-
-
-def _kept(text: str | None, marks, window: int) -> tuple[int, list[bytes]]:
-    """Word count, and the words that stay."""
-    words = text.encode().split() if text else []
-    if not marks:
-        return len(words), words
-    change = np.zeros(len(words) + 1, np.int32)
-    for p, mask in marks:
-        while mask:
-            low = mask & -mask
-            at = p + low.bit_length() - 1
-            change[at] += 1
-            change[at + window] -= 1
-            mask ^= low
-    stay = np.cumsum(change[:-1]) == 0
-    return len(words), [words[i] for i in np.flatnonzero(stay)]
+    # the tests for null, which joins bring along, stand here so that the three uses of this have one exchange
+    firsts = segments.where("s is not null and a is not null").groupBy("s", "a").agg(F.min("d").alias("m")).where("m is not null")
+    # anchors with different segments make the reference shards
+    shared = firsts.groupBy("a").agg(F.count("*").alias("many"), F.max("m").alias("last")).where("many > 1 and last is not null").select("a")
+    asked = firsts.join(shared, "a").groupBy(F.col("m").alias("doc_id")).agg(F.collect_list("s").alias("s"))
+    shards = _segment_words(known.join(asked, "doc_id"), window)
+    masks = _shard_masks(shards.repartition(X.scaled_partitions(spark), "a").sortWithinPartitions("a"), window)
+    judged = firsts.select("s", "m").join(masks, "s", "left")
+    gone = segments.select("s", "d").join(judged, "s").withColumn("mask", F.expr("case when d > m then -1L else mask end")).where("mask != 0").groupBy("d").agg(F.collect_list(F.struct("s", "mask")).alias("gone"))
+    found = known.join(gone.withColumnRenamed("d", "doc_id"), "doc_id", "left")
+    return found.unionByName(base.where(F.col("doc_id").isNull()), allowMissingColumns=True)
+
+
+def _stay(words, anchor, valid, rows, bounds, gone, r0, window) -> np.ndarray:
+    """Of a chunk's words, those that no window to remove covers."""
+    many = len(bounds) - 1
+    part = gone.slice(r0, many)
+    sizes = np.nan_to_num(np.array(part.value_lengths().to_numpy(zero_copy_only=False), float)).astype(np.int64)
+    values = part.flatten()
+    stay = np.ones(len(words), bool)
+    if not len(values):
+        return stay
+    known = _at(np.repeat(np.arange(many), sizes), values.field(0).to_numpy(zero_copy_only=False).view(_U))
+    masks = values.field(1).to_numpy(zero_copy_only=False)
+    order = np.argsort(known)
+    known, masks = known[order], masks[order]
+
+    def look(row, value):
+        key = _at(row, value)
+        i = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        return np.where(known[i] == key, masks[i], 0)
+
+    change = np.zeros(len(words) + 1, np.int64)
+    first, end, s = _parts(words, *_runs(anchor, rows, valid), window)
+    got = look(rows[first], s)
+    flagged = np.zeros(len(valid), bool)
+    for k in range(SEGMENT):
+        p = first + k
+        p = p[(p < end) & ((got == -1) | (got >> k & 1 == 1))]
+        flagged[p] = True
+    flagged |= valid & (look(rows[: len(valid)], _single(words, window)[1]) == -1)
+    p = np.flatnonzero(flagged)
+    np.add.at(change, p, 1)
+    np.add.at(change, p + window, -1)
+    return np.cumsum(change[:-1]) == 0
 
 
 def _apply(found: DataFrame, window: int, make, schema: str, types) -> DataFrame:
+    """make(id, number of words, words that stay) of each row of removals()."""
+
     def run(batches):
         for b in batches:
-            lists = b.column(3)
-            out = []
-            for i, h, text, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), lists.value_lengths().to_pylist(), strict=True):
-                own = [(x["p"], x["mask"]) for x in lists[len(out)].as_py() if x["h"] == h] if n else None
-                out.append(make(i, *_kept(text.as_py(), own, window)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
-
-    return found.select("doc_id", F.xxhash64("text").alias("h"), "text", "marks").mapInArrow(run, schema)
+            ids = b.column(0).to_pylist()
+            for r0, data, offsets in X.chunks(b.column(1)):
+                starts, ends, bounds, words, rows, anchor, valid = _windows(data, offsets, window)
+                stay = _stay(words, anchor, valid, rows, bounds, b.column(2), r0, window)
+                raw, out = data.tobytes(), []
+                for r in range(len(bounds) - 1):
+                    x, y = int(bounds[r]), int(bounds[r + 1])
+                    own = stay[x:y]
+                    if own.all():
+                        kept = raw[offsets[r] : offsets[r + 1]].split()
+                    else:
+                        kept = [raw[i:j] for i, j in zip(starts[x:y][own].tolist(), ends[x:y][own].tolist(), strict=True)]
+                    out.append(make(ids[r0 + r], y - x, kept))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+
+    return found.select("doc_id", "text", "gone").mapInArrow(run, schema)
 
 
 def digest(found: DataFrame, window: int = 13) -> DataFrame:

@@ -7,9 +7,16 @@ Python object is made for a word. Null texts are treated as empty.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text worked on at once; bounds the memory of a task whatever the batch holds.
 CHUNK_BYTES = 2 << 20
@@ -32,10 +39,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tune_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that long texts don't pile up in a worker."""
+def prepare(spark: SparkSession) -> None:
+    """Keep Arrow batches small, so that long texts don't pile up in a worker, and give the executors this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    sc = spark.sparkContext
+    if getattr(sc, "_weftline_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="weftline-")) / "weftline_ops.zip"  # executors fetch it from the driver as long as that lives
+    atexit.register(shutil.rmtree, path.parent, ignore_errors=True)
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(path))
+    sc._weftline_shipped = True
+
+
+def column(df: DataFrame, name: str, alias: str, kind: str):
+    """The column by another name and type, left as it is where it has them (plans that are equal are run once)."""
+    if name == alias and dict(df.dtypes)[name] == kind:
+        return F.col(name)
+    return F.col(name).cast(kind).alias(alias)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
