@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bagminhash, itq, nbsvm, substrings, toxicity
 from . import decontaminate as decon
-from . import substrings
 from .textops import table
 
 
@@ -17,7 +17,23 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.removals(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op8_substring_dedup)}
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.links(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_embedding_near_dedup, op5_bagminhash, op8_substring_dedup, op9_quality, op10_toxicity)}
 
 
 def all_queries() -> dict:
