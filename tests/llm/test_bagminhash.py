@@ -74,5 +74,21 @@ def test_classes_equal_brute_force(spark):
     assert sorted(str(r["doc_id"]) for r in left) == sorted(map(str, [*set(want.values()), None]))
 
 
+def test_classes_in_small_blocks(spark, monkeypatch):
+    """A cluster whose smallest member is near few of the others, and several classes in one bucket."""
+    monkeypatch.setattr(B, "BLOCK", 4)
+    r = random.Random(8)
+    base, docs = [f"b{i}" for i in range(200)], []
+    for k in range(60):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 4, 5, 6, 8])):
+            w[r.randrange(200)] = f"x{k}_{r.random()}"
+        docs.append((k, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x["doc_id"]: x["class_id"] for x in B.near_duplicates(df).collect()}
+    assert got == brute(docs)
+    assert 1 < len(set(got.values())) < 60
+
+
 def test_empty(spark):
     assert B.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0

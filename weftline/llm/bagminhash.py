@@ -10,10 +10,11 @@ Two documents agree in a component with a probability of their weighted
 Jaccard similarity. Points of a process come in ascending order, and a process
 ends when it has passed the document's largest component.
 
-Signatures are cut into bands. In a bucket of a band every document is compared
-with the bucket's smallest, exactly, by multiset overlap; documents of a bucket
-that this leaves in different classes are then compared with each other, so no
-link is lost and a class of copies is not expanded to its pairs.
+Signatures are cut into bands. The smallest document of a bucket leads it. Every
+document is compared, exactly, by multiset overlap, with the lead that it shares
+most buckets with; documents of a bucket that this leaves in different classes
+are then compared with each other in blocks, so no link is lost and a class of
+copies is not expanded to its pairs.
 
 Defined cases: null and empty texts, and rows with a null id, are alone; equal
 word sequences are one class without a comparison; rows that share an id are
@@ -35,6 +36,8 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 #: Members of a bucket that one task compares with the bucket's smallest document.
 SPLIT = 1_000
+#: Documents in a block that is compared with another.
+BLOCK = 256
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -186,28 +189,108 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return texts.mapInArrow(sets, "x long, part int, y long, set binary").repartition(X.scaled_partitions(docs.sparkSession), "x", "part").sortWithinPartitions("x", "part", F.asc_nulls_first("y")).mapInArrow(compare, "x long, y long").distinct()
 
 
+def _rest_links(docs: DataFrame, rest: DataFrame, threshold: float) -> DataFrame:
+    """(x, y): links between documents that share a bucket and not (yet) a class; rest: d, its class label, a bucket's lead.
+
+    Documents that buckets connect are a cluster. Its largest class needs no
+    comparison within itself: the others are compared with all of the cluster, in
+    blocks. A block's texts meet in one task, each set sent once, and overlaps are
+    counted through an inverted index of the block; pairs are never rows.
+    """
+    group = components(rest.where("d != lead").select(F.col("lead").alias("x"), F.col("d").alias("y"))).withColumnRenamed("v", "d").withColumnRenamed("label", "k")
+    member = X.checkpointed(rest.select("d", "label").distinct().join(group, "d"))
+    sizes = member.groupBy("k", "label").agg(F.count("*").alias("n")).groupBy("k").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
+    sizes = sizes.select("k", F.col("top.label").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("rest_blocks"))
+    dealt = member.join(sizes, "k").withColumn("i", F.pmod(F.xxhash64("d"), "rest_blocks").cast("int")).withColumn("j", F.pmod(F.xxhash64(F.lit(1), "d"), "all_blocks").cast("int"))
+    every = dealt.select("d", "k", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("i"), "j", "label", F.lit(0).alias("asks"))
+    asks = dealt.where("label != main").select("d", "k", "i", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), "label", F.lit(1).alias("asks"))
+    need = every.unionByName(asks).groupBy("d").agg(F.collect_list(F.struct("k", "i", "j", "label", "asks")).alias("at"))
+    names = ["k", "i", "j", "label", "asks", "d", "set"]
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+
+    def sets(batches):
+        for batch in batches:
+            ids, lists = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for r0, data, offsets in X.chunks(batch.column(1)):
+                _, row, value, count = shingles(data, offsets)
+                row, value = _numbered(row, value, count)
+                cut = np.searchsorted(row, np.arange(len(offsets)))
+                out, held = [], 0
+                for r in range(len(offsets) - 1):
+                    mine = np.sort(value[cut[r] : cut[r + 1]]).tobytes()
+                    for x in lists[r0 + r]:
+                        out.append((x["k"], x["i"], x["j"], x["label"], x["asks"], ids[r0 + r], mine))
+                        held += len(mine) + 64
+                        if held > 2 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                            out, held = [], 0
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    def compare(batches):
+        at, block, index, up = None, [], None, {}
+
+        def root(x):
+            while x in up:
+                x = up[x]
+            return x
+
+        for batch in batches:
+            xs, ys = [], []
+            for k, i, j, label, asks, d, mine in zip(*(batch.column(c).to_pylist() for c in range(6)), batch.column(6), strict=True):
+                if (k, i, j) != at:
+                    at, block, index, up = (k, i, j), [], None, {}
+                mine = np.frombuffer(mine.as_py(), _U)
+                if not asks:  # sorted first
+                    block.append((d, label, mine))
+                    continue
+                if index is None:
+                    sizes = np.array([len(m) for *_, m in block])
+                    values = np.concatenate([m for *_, m in block])
+                    order = np.argsort(values)
+                    index = values[order], np.repeat(np.arange(len(block)), sizes)[order], sizes
+                values, owner, sizes = index
+                a, b = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
+                many = b - a
+                joint = np.bincount(owner[np.repeat(a - (np.cumsum(many) - many), many) + np.arange(many.sum())], minlength=len(sizes))
+                for q in np.flatnonzero(joint >= threshold * (sizes + len(mine) - joint)):
+                    p, o = root(label), root(block[q][1])
+                    if p != o:  # one link joins two classes in this task
+                        up[p] = o
+                        xs.append(d)
+                        ys.append(block[q][0])
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
+
+    texts = docs.join(need, "d").select("d", "text", "at")
+    order = ["k", "i", "j"]
+    dealt_sets = texts.mapInArrow(sets, "k long, i int, j int, label long, asks int, d long, set binary").repartition(X.scaled_partitions(docs.sparkSession), *order)
+    return dealt_sets.sortWithinPartitions(*order, "asks").mapInArrow(compare, "x long, y long").distinct()
+
+
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(d, class_id): the smallest id of its class, for each different id of a document that has words."""
     X.prepare(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text")).where(F.col("d").isNotNull())
     signed = X.checkpointed(_sign(base, bands, rows))
     # equal word sequences first: one document stands for all of them
-    lead = signed.groupBy("c1", "c2").agg(F.min("d").alias("lead"))
+    lead = X.checkpointed(signed.groupBy("c1", "c2").agg(F.min("d").alias("lead")))  # so that the join below shuffles both sides and can split a hot class
     led = X.checkpointed(signed.join(lead, ["c1", "c2"]).select("d", "lead", F.when(F.col("d") == F.col("lead"), F.col("keys")).alias("keys")))
     same = led.where("d != lead").select(F.col("lead").alias("x"), F.col("d").alias("y")).distinct()
     entries = led.where("keys is not null").select("d", F.explode("keys").alias("key")).distinct()
     buckets = entries.groupBy("key").agg(F.min("d").alias("lead"), F.count("*").alias("many")).where("many > 1").select("key", "lead")
     members = X.checkpointed(entries.join(buckets, "key").where("d != lead"))
-    links = X.checkpointed(_verified(base, members.select(F.col("lead").alias("x"), F.col("d").alias("y")).distinct(), threshold).unionByName(same))
+    # each document is compared with the one lead that it shares most buckets with
+    likely = members.groupBy("d", "lead").agg(F.count("*").alias("n")).groupBy("d").agg(F.min(F.struct((-F.col("n")).alias("n"), "lead")).alias("top"))
+    links = X.checkpointed(_verified(base, likely.select(F.col("top.lead").alias("x"), F.col("d").alias("y")), threshold).unionByName(same))
     found = components(links)
     # what else meets in a bucket and is in different classes so far
-    placed = members.join(found.withColumnRenamed("v", "d"), "d", "left").select("key", "d", F.coalesce("label", "d").alias("label"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
-    rest = X.checkpointed(placed.join(mixed, "key"))
-    other = rest.select("key", F.col("d").alias("y"), F.col("label").alias("other"))
-    pairs = X.checkpointed(rest.withColumnRenamed("d", "x").join(other, "key").where("x < y and label != other").select("x", "y").distinct())
-    if not pairs.isEmpty():
-        found = components(links.unionByName(_verified(base, pairs, threshold)))
+    placed = members.select("key", "d").unionByName(buckets.select("key", F.col("lead").alias("d"))).join(found.withColumnRenamed("v", "d"), "d", "left").select("key", "d", F.coalesce("label", "d").alias("label"))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("d").alias("lead")).where("a != b").select("key", "lead")
+    rest = X.checkpointed(placed.join(mixed, "key").select("d", "label", "lead").distinct())
+    if not rest.isEmpty():
+        more = X.checkpointed(_rest_links(base, rest, threshold))
+        if not more.isEmpty():
+            found = components(links.unionByName(more))
     return signed.select("d").distinct().join(found.withColumnRenamed("v", "d"), "d", "left").select("d", F.coalesce("label", "d").alias("class_id"))
 
 
