@@ -88,16 +88,16 @@ def is_index_column(c: Column | str) -> Column:
 def imports(c: Column | str) -> Column:
     """Array of library names from the import lines of code.
 
-    'from x import y' gives y; 'import a as b, c' gives 'aasb' and 'c' (blanks are
-    dropped before the split at commas); comments are dropped.
+    'from x import y' gives y. The last alias of a line is dropped, then blanks, and
+    then the line is split at commas: 'import a as b, c as d' gives 'aasb' and 'c'.
+    Comments are dropped.
     """
     lines = F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, "#.*$", "")))
 
     def names(x):
         tail = F.regexp_extract(x, "(?:^|\\s)import\\s+(.*)$", 1)
-        whole = F.regexp_replace(tail, "\\s+", "")
-        first = F.regexp_replace(F.regexp_replace(tail, "\\s+as\\s+\\w+\\s*$", ""), "\\s+", "")
-        return F.when(x.rlike("^(import|from)\\s"), F.split(F.when(tail.contains(","), whole).otherwise(first), ",")).otherwise(F.array().cast("array<string>"))
+        plain = F.regexp_replace(F.regexp_replace(tail, "\\s+as\\s+\\w+\\s*$", ""), "\\s+", "")
+        return F.when(x.rlike("^(import|from)\\s"), F.split(plain, ",")).otherwise(F.array().cast("array<string>"))
 
     return F.filter(F.flatten(F.transform(lines, names)), lambda x: x != "")
 

@@ -657,7 +657,7 @@ def last_assignment(spark, d):
     return v.join(_code(spark), "nb_name").select("nb_name", "var", text.last_assignment("code", "var").alias("line"))
 
 
-@q("SELECT * FROM (VALUES ('n1', 'pandas'), ('n2', 'SVC'), ('n2', 'numpyasnp'), ('n2', 'pandasaspd'), ('n2', 'os')) t(nb_name, library)")
+@q("SELECT * FROM (VALUES ('n1', 'pandas'), ('n2', 'SVC'), ('n2', 'numpyasnp'), ('n2', 'pandas'), ('n2', 'os')) t(nb_name, library)")
 def import_extraction(spark, d):
     return _code(spark).select("nb_name", F.explode(text.imports("code")).alias("library"))
 

@@ -37,8 +37,11 @@ def lineage(dependency: DataFrame, line2cid: DataFrame, last_line: DataFrame) ->
         return df.select("view_id", F.col("view_cmd").alias(name))
 
     both = one(dependency, "dependency").join(one(line2cid, "line2cid"), "view_id").join(one(last_line, "last"), "view_id")
-    dep = "map<int,struct<lhs:array<string>,rhs:array<struct<var:string,op:string>>>>"
-    return both.select("view_id", F.from_json("dependency", dep).alias("dependency"), F.from_json("line2cid", "map<int,int>").alias("line2cid"), F.col("last").cast("int").alias("last_line")).where("last_line > 0")
+
+    def by_line(column, kind):  # JSON has text keys only
+        return F.transform_keys(F.from_json(column, f"map<string,{kind}>"), lambda k, _: k.cast("int")).alias(column)
+
+    return both.select("view_id", by_line("dependency", "struct<lhs:array<string>,rhs:array<struct<var:string,op:string>>>"), by_line("line2cid", "int"), F.col("last").cast("int").alias("last_line")).where("last_line > 0")
 
 
 def name_map(spark: SparkSession, path: str) -> DataFrame:

@@ -57,7 +57,10 @@ def store_scalars(scalars: DataFrame, path: str) -> None:
 
 
 def store_lineage(lineage: DataFrame, path: str) -> None:
-    append_new(lineage.select("view_id", F.to_json("dependency").alias("dependency"), F.to_json("line2cid").alias("line2cid"), "last_line"), path, ["view_id"])
+    def as_json(column):  # JSON has text keys only
+        return F.to_json(F.transform_keys(column, lambda k, _: k.cast("string"))).alias(column)
+
+    append_new(lineage.select("view_id", as_json("dependency"), as_json("line2cid"), "last_line"), path, ["view_id"])
 
 
 def cell_dictionary(cells: DataFrame) -> DataFrame:
