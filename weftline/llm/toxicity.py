@@ -6,7 +6,7 @@ into spaces. The lexicon holds a short fixed list and entries learned from
 labelled rows: words and beginnings of words that toxic documents have and
 clean ones mostly don't, weighted by log odds. One automaton finds the entries
 and the exception phrases; an entry inside an exception phrase doesn't count,
-and of the entries that begin at one word the longest does. The weights found,
+and the entries that begin at one word count once, with the largest weight. The weights found,
 set against the text's length, give the score through a logistic curve that is
 fitted on labelled rows which the weights were not learned from.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 
 import ahocorasick
 import numpy as np
@@ -29,16 +30,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import textops as X
-from .labelled import TRAIN_ROWS, fit_logistic, held_out, sigmoid, training
+from .labelled import fit_logistic, held_out, sigmoid, training
 
 # Words of abuse, and phrases in which such a word is harmless.
 INSULTS = "idiot moron stupid loser trash pathetic worthless disgusting scum clown imbecile dumbass retard bastard bitch asshole scumbag jackass pig vermin filth degenerate cretin".split()
 EXCEPTIONS = ["trash can", "trash bin", "taking out the trash", "take out the trash", "class clown", "clown fish", "circus clown", "loser pays", "guinea pig", "pig iron", "white trash novel", "stupid question", "pond scum"]
+#: Labelled rows that entries, weights and curve are learned from, at most: rare entries need many.
+LEXICON_ROWS = 20_000
 #: Weight of a word of the fixed list that labelled rows don't tell about.
 PRIOR = 3.0
 # Letters of other scripts, digits and signs by what they look like.
 LOOKALIKES = dict(zip("аеорсухкмтвнізѕјԁԛԝгпιοανρτυκμεχβη", "aeopcyxkmtbhizsjdqwrniuavptukmexbh", strict=False))
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
+#: Log odds of an entry count up to this: two rare entries weigh more than one that is frequent.
+MOST = 7.0
 #: Lengths of the word beginnings that may become entries.
 BEGINNINGS = (4, 5, 6, 7, 8)
 
@@ -98,13 +103,17 @@ class Lexicon:
             if weight is None:
                 spared.append((end - size + 1, end))
             else:
-                best[end - size + 1] = (size, weight)  # of one beginning, the longest comes last
+                at = end - size + 1
+                best[at] = (size, max(weight, best[at][1]) if at in best else weight)  # of one beginning, the longest comes last
         for a, b in spared:
             for at in [x for x in best if a <= x and x + best[x][0] - 1 <= b]:
                 del best[at]
         words = folded.count(" ") - 1 if folded.strip() else 0
-        total = sum(w for _, w in best.values())
-        different = len({folded[a : a + s] for a, (s, _) in best.items()})
+        times = Counter(folded[a : a + s] for a, (s, _) in best.items())
+        weight = {folded[a : a + s]: w for a, (s, w) in best.items()}
+        # one entry over and over says less than several: its count enters by its logarithm
+        total = sum(weight[e] * (1 + math.log(n)) for e, n in times.items())
+        different = len(times)
         return math.log1p(total), math.log1p(100 * total / (words + 20)), math.log1p(different), math.log1p(words)
 
 
@@ -112,7 +121,7 @@ class Lexicon:
 DEFAULT = [1.0, 1.0, 0.5, 0.0, -4.0]
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, least: int = 3, odds: float = 1.6) -> tuple[dict[str, float], list[float]]:
+def learn(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = LEXICON_ROWS, least: int = 3, odds: float = 1.6) -> tuple[dict[str, float], list[float]]:
     """Weights by entry and the curve's coefficients, from a bounded sample of labelled rows.
 
     The entries' counts are summed by Spark; only entries seen in `least` toxic
@@ -150,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_co
         out = dict(weights)
         for r in found:
             if (w := r[f"w{o}"]) is not None and w >= odds:
-                out[r["entry"]] = float(w)
+                out[r["entry"]] = min(float(w), MOST)
         return out
 
     # each third is scored with weights from the other two, for the curve to be fair
