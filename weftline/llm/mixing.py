@@ -157,14 +157,15 @@ def fit_rates(table: DataFrame, weights: list[float], *, anchor: int | None = No
 
 
 def mixed(docs: DataFrame, labels: DataFrame, domain_col: str, weights: list[float], *, id_col: str = "doc_id", text_col: str = "text", apply: bool = True, rows: int = TRAIN_ROWS, **fit_options) -> DataFrame:
-    """docs with each row as often as its rate says; with apply=False docs' rows with _tokens, _posterior, rate and copies."""
+    """docs with each row as often as its rate says; with apply=False for each row its id, n_tokens, posterior, rate and copies."""
     k = len(weights)
     learned = learn_domains(docs, labels, domain_col, id_col=id_col, text_col=text_col, rows=rows)
     if learned is not None and learned.shape[1] < k:
         learned = np.pad(learned, ((0, 0), (0, k - learned.shape[1])), constant_values=0)
-    table = X.checkpointed(posteriors(docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_row"), F.col(text_col).alias("_text")), learned, k, text_col="_text").select("_row", "_tokens", "_posterior"))
+    own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_row"), F.col(text_col).alias("_text"))
+    table = X.checkpointed(posteriors(own, learned, k, text_col="_text").drop("_text"))
     plan = fit_rates(table, weights, **fit_options)
-    full = posteriors(docs.withColumn("_row", F.xxhash64(id_col, text_col)), learned, k, text_col=text_col)
+    full = posteriors(docs.withColumn("_row", F.xxhash64(id_col, text_col)), learned, k, text_col=text_col) if apply else table
     at = full.columns.index("_posterior")
     row = full.columns.index("_row")
 
@@ -178,5 +179,5 @@ def mixed(docs: DataFrame, labels: DataFrame, domain_col: str, weights: list[flo
 
     rated = full.mapInArrow(rate, StructType([*full.schema.fields, StructField("_rate", DoubleType()), StructField("_copies", LongType())]))
     if not apply:
-        return rated.select(*docs.columns, F.col("_tokens").alias("n_tokens"), F.col("_posterior").alias("posterior"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
+        return rated.select(F.col("_id").alias(id_col), F.col("_tokens").alias("n_tokens"), F.col("_posterior").alias("posterior"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
     return rated.where("_copies > 0").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
