@@ -168,3 +168,10 @@ def test_best_match_not_the_first(graph):
     found = match.find(n, graph[1], q, carry=("sim_a", "sim_b", "display_type"))
     best = score.match_scores(found, q, SearchConfig()).orderBy(F.desc("score")).first()
     assert (best["a"], best["b"]) == ("c2", "c3") and best["score"] == pytest.approx(1.0)
+
+
+def test_nodes_below_roots(graph):
+    n, e = graph
+    roots = n.where("node = 'c2'").select("nb_name", "node")
+    got = {r["node"]: r["number"] for r in reach.from_roots(n, reach.closure(e), roots).collect()}
+    assert got == {"c2": 1, "c3": 2, "d3": 3, "v1": 4}

@@ -46,10 +46,10 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.drop("was")
 
 
-def from_root(nodes: DataFrame, reach: DataFrame, nb_name: str, root: str) -> DataFrame:
-    """The nodes of one notebook at and below a root, numbered by name."""
+def from_roots(nodes: DataFrame, reach: DataFrame, roots: DataFrame) -> DataFrame:
+    """The nodes at and below the given roots (nb_name, node) of each notebook, numbered by name within it."""
     from pyspark.sql import Window
 
-    below = reach.where((F.col("nb_name") == nb_name) & (F.col("src") == root)).select("nb_name", F.col("dst").alias("node"))
-    keep = below.unionByName(nodes.where((F.col("nb_name") == nb_name) & (F.col("node") == root)).select("nb_name", "node")).distinct()
+    below = reach.join(roots.withColumnRenamed("node", "src"), ["nb_name", "src"], "left_semi").select("nb_name", F.col("dst").alias("node"))
+    keep = below.unionByName(roots.select("nb_name", "node")).distinct()
     return nodes.join(keep, ["nb_name", "node"], "left_semi").withColumn("number", F.row_number().over(Window.partitionBy("nb_name").orderBy("node")))

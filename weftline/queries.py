@@ -7,6 +7,8 @@ successor, the text its code. Libraries and outputs are those of users' events.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -724,3 +726,134 @@ def ndcg_by_source(spark, d):
 def average_precision(spark, d):
     got = quality.average_precision(_ranked(spark, d), query="source", item="doc_id", score="score", relevant="quality")
     return got.select("source", F.round("ap", 6).alias("ap"))
+
+
+# ---- further operators -------------------------------------------------------------------------
+
+
+@q(f"WITH {N} SELECT DISTINCT nb AS nb_name FROM n")
+def notebook_names(spark, d):
+    return graph_stats.notebook_names(conv_nodes(spark, d))
+
+
+@q(f"WITH {N}, {E()}, v AS (SELECT DISTINCT nb FROM n WHERE label = 'Display_data') SELECT e.nb AS nb_name, src, dst FROM e JOIN v USING (nb)")
+def valid_graph(spark, d):
+    """Edges of the allow-listed notebooks, here those with an output."""
+    n = conv_nodes(spark, d)
+    return graph_stats.valid_graph(n, conv_edges(spark, d), n.where(F.col("node_type") == OUTPUT).select("nb_name"), ("Successor",))[1].select("nb_name", "src", "dst")
+
+
+@q(f"WITH {N}, {E()} SELECT nb AS nb_name, dst AS src, src AS dst, 'Parent' AS rel FROM e")
+def inverse_edges(spark, d):
+    from .sources.notebooks import inverse
+
+    return inverse(conv_edges(spark, d))
+
+
+@q("WITH l AS (SELECT DISTINCT user_id::VARCHAR AS nb, concat_ws('_', event_type, (props->>'$.k')) AS library FROM events) SELECT nb AS nb_name, string_agg(library, ',' ORDER BY library) AS libraries FROM l GROUP BY nb")
+def library_sets(spark, d):
+    return graph_stats.library_sets(events_libraries(spark, d)).select("nb_name", F.array_join("libraries", ",").alias("libraries"))
+
+
+@q(
+    f"""WITH RECURSIVE {N}, {E()}, r AS (SELECT nb, src, dst FROM e UNION SELECT r.nb, r.src, e.dst FROM r JOIN e ON e.nb = r.nb AND e.src = r.dst),
+t AS (SELECT nb, node FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.nb = n.nb AND e.dst = n.node)), k AS (SELECT nb, node FROM t UNION SELECT r.nb, r.dst FROM r JOIN t ON t.nb = r.nb AND t.node = r.src)
+SELECT nb AS nb_name, node, row_number() OVER (PARTITION BY nb ORDER BY node)::INT AS number FROM k"""
+)
+def result_graph(spark, d):
+    """The workflow below the roots of each notebook, numbered, as shown for a result."""
+    n, e = conv_nodes(spark, d), conv_edges(spark, d)
+    roots = n.select("nb_name", "node").join(e.select("nb_name", F.col("dst").alias("node")), ["nb_name", "node"], "left_anti")
+    return reach.from_roots(n, reach.closure(e), roots).select("nb_name", "node", "number")
+
+
+@q(f"WITH c AS (SELECT DISTINCT table_name, col, dtype FROM ({long_sql()})) SELECT table_name, dtype, count(*) AS n FROM c GROUP BY ALL")
+def dtype_counts(spark, d):
+    return profile.dtype_counts(values(spark, d))
+
+
+@q(f"WITH u AS (SELECT DISTINCT table_name, col, value FROM ({long_sql()}) WHERE value IS NOT NULL) SELECT table_name, col, least(count(*), 1000)::BIGINT AS n FROM u GROUP BY ALL")
+def sketch_values(spark, d):
+    """How many values the sketch of each column has; a thousand is the feature."""
+    return profile.sketch_values(values(spark, d), ["table_name"]).groupBy("table_name", "col").agg(F.count("*").alias("n"))
+
+
+@q(
+    f"""WITH c AS (SELECT DISTINCT table_name, group_id, col, dtype FROM ({long_sql(('orders', 'lineitem'))})), m AS (SELECT *, regexp_replace(col, '^[a-z]_', '') AS k FROM c)
+SELECT a.table_name AS a_table_name, b.table_name AS b_table_name, a.k AS a_col, b.k AS b_col FROM m a JOIN m b ON a.k = b.k AND a.group_id = b.group_id AND a.dtype = b.dtype WHERE a.table_name = 'orders' AND b.table_name = 'lineitem'"""
+)
+def mapping_by_schema(spark, d):
+    """Columns of two tables of a group that are one schema element; names without their prefix."""
+    v = values(spark, d, ("orders", "lineitem")).withColumn("col", F.regexp_replace("col", "^[a-z]_", ""))
+    got = mapping.mapping_by_schema(v.where("table_name = 'orders'"), v.where("table_name = 'lineitem'"), profile.schema_index(v))
+    return got.select("a_table_name", "b_table_name", "a_col", "b_col")
+
+
+@q()
+def join_mapping(spark, d):
+    v = values(spark, d, DIMENSIONS)
+    sketched = mapping.column_pairs(profile.sketch_values(v, ["table_name"]), profile.sketch_values(v, ["table_name"]))
+    return mapping.join_mapping(sketched, mapping.column_pairs(v, v)).where("a_table_name < b_table_name")
+
+
+@q()
+def group_scores(spark, d):
+    """Hits of table search given to all tables of their groups."""
+    hits = table_search.similar(values(spark, d, ("supplier",)), values(spark, d))
+    groups = spark.createDataFrame(list(GROUPS.items()), "table_name string, group_id int")
+    return table_search.spread_to_groups(hits, groups).select("a_table_name", "b_table_name", F.round("score", 6).alias("score"))
+
+
+@q()
+def distinct_hits(spark, d):
+    """Hits without tables of equal content."""
+    v = values(spark, d).unionByName(values(spark, d, ("nation",)).withColumn("table_name", F.lit("nation_again")))
+    hits = table_search.similar(values(spark, d, ("supplier",)), v).select(F.col("b_table_name").alias("table_name"), F.round("score", 6).alias("score"))
+    return tables.drop_same_content(hits, profile.content_ids(v), 10)
+
+
+@q()
+def nearest_provenance(spark, d):
+    """The nearest data flows of each made-up program by star mapping."""
+    s = provenance.stars(provenance.flow_graphs(_code(spark), id_col="nb_name", code_col="code"))
+    return provenance.nearest(s, s, 2).select("a_id", "b_id", "distance", "rank")
+
+
+@q()
+def flow_similarity(spark, d):
+    pairs = spark.createDataFrame([(*a, *b) for a, b in itertools.combinations(CODE, 2)], "a_id string, a string, b_id string, b string")
+    return provenance.flow_similarities(pairs, "a", "b").select("a_id", "b_id", F.round("flow_sim", 6).alias("flow_sim"))
+
+
+@q("WITH p AS (SELECT p_brand, p_type, sum(p_size)::DOUBLE AS benefit FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY benefit DESC, p_type) AS k FROM p WHERE benefit > 10) SELECT p_brand, p_type AS partner, benefit FROM r WHERE k = 1")
+def best_partner(spark, d):
+    p = table(spark, d, "part").groupBy("p_brand", F.col("p_type").alias("partner")).agg(F.sum("p_size").cast("double").alias("benefit"))
+    return storage.best_partner(p, ["p_brand"], least=10.0)
+
+
+@q("SELECT md5(text) AS h, min(turn)::BIGINT AS cell_id FROM conversations GROUP BY text")
+def cell_dictionary(spark, d):
+    from .sources.sinks import cell_dictionary as dictionary
+
+    c = table(spark, d, "conversations").select(F.col("text").alias("cell_code"), F.col("turn").cast("long").alias("cell_id"))
+    return dictionary(c).select(F.md5(F.unbase64("code")).alias("h"), "cell_id")
+
+
+@q(
+    f"""WITH {N}, {E()}, p AS (SELECT x.src AS c1, y.dst AS c2 FROM e x JOIN e y ON x.nb = y.nb AND x.dst = y.src WHERE x.src_label = 'Cell' AND y.dst_label = 'Cell'), k AS (SELECT node, {tokens_sql('text')} AS toks, {LINES} AS ls FROM n)
+SELECT c1, c2, round({jaccard_sql('a.toks', 'b.toks')}, 6) AS by_tokens, round({jaccard_sql('a.ls', 'b.ls')}, 6) AS by_lines FROM p JOIN k a ON a.node = c1 JOIN k b ON b.node = c2"""
+)
+def cell_comparison(spark, d):
+    """Cells two turns apart, compared by tokens and by lines."""
+    n, e = conv_nodes(spark, d), conv_edges(spark, d)
+    cells = n.where(F.col("node_type") == CELL).select("nb_name", "node", "cell_code")
+    x = e.select("nb_name", F.col("src").alias("c1"), F.col("dst").alias("m")).join(e.select("nb_name", F.col("src").alias("m"), F.col("dst").alias("c2")), ["nb_name", "m"])
+    both = x.join(cells.toDF("nb_name", "c1", "t1"), ["nb_name", "c1"]).join(cells.toDF("nb_name", "c2", "t2"), ["nb_name", "c2"])
+    return both.select("c1", "c2", F.round(text.token_jaccard("t1", "t2"), 6).alias("by_tokens"), F.round(text.line_jaccard("t1", "t2"), 6).alias("by_lines"))
+
+
+@q(f"WITH {N}, {CELL_SIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, d) AS rank FROM p) SELECT q, d, round(sim, 6) AS sim, rank FROM r WHERE rank <= 5")
+def nearest_cells(spark, d):
+    """The five nearest cells of each query cell (k nearest neighbours; five is the feature)."""
+    got = score.top_k_per(_cell_pairs(spark, d), ["q"], 5, [F.desc("sim"), F.asc("d")])
+    return got.select("q", "d", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
