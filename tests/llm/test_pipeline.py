@@ -82,3 +82,20 @@ def test_run(spark, made):
     got = P.run(spark, made[0])
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "shard_depth", "shard_bytes"]
     assert {r["doc_id"] for r in got.collect()} <= {i for i, k in made[2].items() if k != "toxic"} | {999}
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark, made):
+    d = made[0]
+    names = ["_h", "_n", "_gone", "_toxicity", "_tokens", "_posterior", "_row", "_rate", "_copies", "_one", "_key", "_root", "_list", "_own", "shard", "label", "d", "s", "a", "y", "id", "items", "spans", "toxicity"]
+    rows = [(None, None), (None, "same text here"), (None, "same text here"), (1, None), (1, None), (2, ""), (3, "one"), (3, "one"), (4, "long " * 60_000), (5, "\u00e9\U0001f600 \u00a0 x" * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "cast(null as string) as lang", "'s' as source", "cast(null as long) as n_chars", *(f"'x' as `{n}`" for n in names))
+    for source in (df, df.limit(0)):
+        for name, stage in P.STAGES:
+            got = stage(spark, source, d)
+            assert got.columns[: len(df.columns)] == df.columns or name == "sharding"
+            n = got.count()
+            assert n == source.count() or name in ("minhash near-dedup", "mixing")
+            if name == "minhash near-dedup":
+                assert n == (8 if source is df else 0)
+            if name == "sharding":
+                assert len(set(got.columns)) == len(got.columns)

@@ -143,6 +143,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     member = sized.groupBy(F.col("y").alias("d")).agg(F.collect_list(F.struct("x", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int").alias("part"))).alias("at"))
     leader = sized.groupBy(F.col("x").alias("d")).agg(F.first("parts").alias("parts"))
     need = member.join(leader, "d", "full")
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["x", "part", "y", "set"])
 
     def sets(batches):
         for batch in batches:
@@ -151,17 +155,18 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
                 _, row, value, count = shingles(data, offsets)
                 row, value = _numbered(row, value, count)
                 cut = np.searchsorted(row, np.arange(len(offsets)))
-                out = []
+                out, held = [], 0
                 for r in range(len(offsets) - 1):
                     mine = np.sort(value[cut[r] : cut[r + 1]]).tobytes()
                     d = ids[r0 + r]
-                    out += [(d, p, None, mine) for p in range(parts[r0 + r] or 0)]
-                    out += [(p["x"], p["part"], d, mine) for p in lists[r0 + r] or ()]
-                    if sum(len(o[3]) for o in out[-64:]) > 1 << 20 or len(out) > 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["x", "part", "y", "set"])
-                        out = []
+                    for x in [(d, p, None) for p in range(parts[r0 + r] or 0)] + [(p["x"], p["part"], d) for p in lists[r0 + r] or ()]:
+                        out.append((*x, mine))
+                        held += len(mine) + 64
+                        if held > 1 << 20:
+                            yield made(out)
+                            out, held = [], 0
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["x", "part", "y", "set"])
+                    yield made(out)
 
     def compare(batches):
         at, own = None, []
@@ -221,7 +226,7 @@ def _rest_links(docs: DataFrame, rest: DataFrame, threshold: float) -> DataFrame
                     for x in lists[r0 + r]:
                         out.append((x["k"], x["i"], x["j"], x["label"], x["asks"], ids[r0 + r], mine))
                         held += len(mine) + 64
-                        if held > 2 << 20:
+                        if held > 1 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
                             out, held = [], 0
                 if out:
@@ -303,7 +308,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """The rows of docs that stay: one of each class. Rows with a null id stay."""
-    gone = classes(docs, id_col=id_col, text_col=text_col, threshold=threshold).where("d != class_id").select(F.col("d").alias("_gone"))
-    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    order = Window.partitionBy(id_col).orderBy("_h")
-    return left.withColumn("_h", F.xxhash64(text_col)).withColumn("_n", F.row_number().over(order)).where(F.col(id_col).isNull() | (F.col("_n") == 1)).drop("_h", "_n")
+    gone_id, h, n = X.fresh(docs, "_gone", "_h", "_n")
+    gone = classes(docs, id_col=id_col, text_col=text_col, threshold=threshold).where("d != class_id").select(F.col("d").alias(gone_id))
+    left = docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
+    order = Window.partitionBy(id_col).orderBy(h)
+    return left.withColumn(h, F.xxhash64(text_col)).withColumn(n, F.row_number().over(order)).where(F.col(id_col).isNull() | (F.col(n) == 1)).drop(h, n)

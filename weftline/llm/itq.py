@@ -3,7 +3,7 @@
 Vectors are normalised and centred; a rotation of their principal axes is
 learned on a bounded sample so that the signs are balanced 1-bit codes with
 little quantisation error (alternating: codes from signs, rotation from an
-orthogonal Procrustes problem). A code of b bits is cut into bands of about 16
+orthogonal Procrustes problem). A code of b bits is cut into bands of about 13
 bits, and each band is the key of a Hamming table. All rows are in all tables;
 two vectors meet if a band agrees, and so do all whose codes differ in fewer
 bits than there are bands, and most of the others. What meets is compared by
@@ -37,7 +37,7 @@ from .graph import components
 #: Vectors that the rotation is learned on, at most, and rounds of learning.
 SAMPLE_ROWS, LEARN_ROUNDS = 10_000, 30
 #: Bits of a band, and rows of a block.
-BAND_BITS, BLOCK = 16, 1_024
+BAND_BITS, BLOCK = 13, 1_024
 _U = np.uint64
 
 
@@ -62,20 +62,22 @@ def _usable(e):
     return F.when(e.isNotNull() & plain & good, e)
 
 
-def _matrix(column: pa.Array, d: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), d)
+def _unit(e: np.ndarray) -> np.ndarray:
+    """Rows in double precision, of length 1; scaled first, so that no square overflows."""
+    e = e.astype(np.float64)
+    e = e / np.abs(e).max(1, keepdims=True)
+    return e / np.linalg.norm(e, axis=1, keepdims=True)
 
 
-def _coded(vectors: DataFrame, d: int, mean, projection, bands: list[tuple[int, int]]) -> DataFrame:
-    """(r, label, band, key, code, e) of each band of each vector; e: its bytes as doubles, of length 1."""
+def _coded(vectors: DataFrame, d: int, mean, projection, bands: list[tuple[int, int]], kind: type) -> DataFrame:
+    """(r, label, band, key, code, e) of each band of each vector; e: its bytes, in the precision that it came in."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                e = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, d)
-                e = e / np.linalg.norm(e / np.abs(e).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(e).max(1, keepdims=True)
-                bits = ((e - mean) @ projection) >= 0
+                e = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(part.num_rows, d)
+                bits = ((_unit(e) - mean) @ projection) >= 0
                 code = [np.packbits(row).tobytes() for row in bits]
                 raw = [row.tobytes() for row in e]
                 for k, (x, y) in enumerate(bands):
@@ -105,6 +107,7 @@ def links(vectors: DataFrame, *, id_col: str = "vec_id", label_col: str = "label
     """
     spark = vectors.sparkSession
     X.prepare(spark)
+    kind = np.float32 if dict(vectors.dtypes)[vector_col] == "array<float>" else np.float64
     vectors = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("e"))
     rows = vectors.withColumn("e", F.when(F.col("vec_id").isNotNull() & F.col("label").isNotNull(), _usable(F.col("e"))))
     good = rows.where("e is not null")
@@ -118,12 +121,10 @@ def links(vectors: DataFrame, *, id_col: str = "vec_id", label_col: str = "label
     for d in [r["d"] for r in member.select("d").distinct().collect()]:  # usually one length
         of_d = single.where(F.col("d") == d)
         x = np.array([r["e"] for r in of_d.orderBy(F.xxhash64("r"), "r").limit(sample_rows).select("e").toLocalIterator()], float)
-        x /= np.abs(x).max(1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        mean, projection = learn_rotation(x)
+        mean, projection = learn_rotation(_unit(x))
         cuts = np.linspace(0, d, max(1, math.ceil(d / BAND_BITS)) + 1).astype(int)
         bands = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        found = _compared(_coded(of_d.select("r", "label", "e"), d, mean, projection, bands), of_d.select("r", "copies"), d, bands, threshold, radius)
+        found = _compared(_coded(of_d.select("r", "label", "e"), d, mean, projection, bands, kind), of_d.select("r", "copies"), d, bands, threshold, radius, kind)
         found = X.checkpointed(found)
         part, edge = found.where("n is not null").select("r", "n"), found.where("n is null").select(F.col("r").alias("x"), F.col("other").alias("y"))
         counts, spans = (part, edge) if counts is None else (counts.unionByName(part), spans.unionByName(edge))
@@ -137,7 +138,7 @@ def links(vectors: DataFrame, *, id_col: str = "vec_id", label_col: str = "label
     return vectors.select("vec_id").join(per_id, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _compared(coded: DataFrame, copies: DataFrame, d: int, bands, threshold: float, radius: int | None) -> DataFrame:
+def _compared(coded: DataFrame, copies: DataFrame, d: int, bands, threshold: float, radius: int | None, kind: type) -> DataFrame:
     """(r, n, other): counts of copies that r links with, and spanning links (n null)."""
     spark = coded.sparkSession
     buckets = coded.groupBy("label", "band", "key").agg(F.count("*").alias("many")).where("many > 1").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
@@ -185,7 +186,7 @@ def _compared(coded: DataFrame, copies: DataFrame, d: int, bands, threshold: flo
             for x, y in zip(cut[:-1], cut[1:], strict=True):
                 if y - x > 1:
                     g = t.slice(x, y - x)
-                    got = compare(g["own"].to_numpy(), g["r"].to_numpy(), g["copies"].to_numpy(), g["code"].to_pylist(), _matrix(g["e"].combine_chunks() if isinstance(g["e"], pa.ChunkedArray) else g["e"], d), int(keys[x][1]), int(keys[x][3]), int(keys[x][4]))
+                    got = compare(g["own"].to_numpy(), g["r"].to_numpy(), g["copies"].to_numpy(), g["code"].to_pylist(), _unit(np.frombuffer(b"".join(g["e"].to_pylist()), kind).reshape(y - x, d)), int(keys[x][1]), int(keys[x][3]), int(keys[x][4]))
                     if got is not None:
                         yield got
 

@@ -165,9 +165,12 @@ def mixed(docs: DataFrame, labels: DataFrame, domain_col: str, weights: list[flo
     own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_row"), F.col(text_col).alias("_text"))
     table = X.checkpointed(posteriors(own, learned, k, text_col="_text").drop("_text"))
     plan = fit_rates(table, weights, **fit_options)
-    full = posteriors(docs.withColumn("_row", F.xxhash64(id_col, text_col)), learned, k, text_col=text_col) if apply else table
-    at = full.columns.index("_posterior")
-    row = full.columns.index("_row")
+    tokens, posterior, row_name, rate_name, copies, one = ["_tokens", "_posterior", "_row", "_rate", "_copies", "_one"]
+    full = table
+    if apply:
+        tokens, posterior, row_name, rate_name, copies, one = X.fresh(docs, tokens, posterior, row_name, rate_name, copies, one)
+        full = posteriors(docs.withColumn(row_name, F.xxhash64(id_col, text_col)), learned, k, text_col=text_col, tokens=tokens, posterior=posterior)
+    at, row = full.columns.index(posterior), full.columns.index(row_name)
 
     def rate(batches):
         for b in batches:
@@ -175,9 +178,9 @@ def mixed(docs: DataFrame, labels: DataFrame, domain_col: str, weights: list[flo
                 p = b.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
                 r = plan.rates(p)
                 u = (X.mix(b.column(row).to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(11)).astype(float) * 2.0**-53
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r), pa.array(np.floor(r + u).astype(np.int64))], names=[*b.schema.names, "_rate", "_copies"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r), pa.array(np.floor(r + u).astype(np.int64))], names=[*b.schema.names, rate_name, copies])
 
-    rated = full.mapInArrow(rate, StructType([*full.schema.fields, StructField("_rate", DoubleType()), StructField("_copies", LongType())]))
+    rated = full.mapInArrow(rate, StructType([*full.schema.fields, StructField(rate_name, DoubleType()), StructField(copies, LongType())]))
     if not apply:
         return rated.select(F.col("_id").alias(id_col), F.col("_tokens").alias("n_tokens"), F.col("_posterior").alias("posterior"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
-    return rated.where("_copies > 0").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    return rated.where(F.col(copies) > 0).withColumn(one, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

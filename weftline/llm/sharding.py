@@ -10,7 +10,8 @@ directory on the first 16 bits; the directory is broadcast while it is small.
 
 Defined cases: a null text has 0 bytes; a null id is replaced by the text for
 the key; rows of one id, or a row above the limit, cannot be split and make a
-shard of depth 60 at most that is over the limit; an empty table gives no rows.
+shard of depth 60 at most that is over the limit; an empty table gives no rows;
+columns shard, shard_depth and shard_bytes that are there already are replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import textops as X
+
 KEY_BITS, ROOT_BITS, STEP_BITS = 60, 16, 4
 #: Directory entries that may be broadcast.
 BROADCAST_ENTRIES = 200_000
@@ -60,7 +63,7 @@ def directory(sized: DataFrame, limit: int) -> list[tuple[int, int, int]]:
 def assign(docs: DataFrame, *, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with shard (the bucket's bits), shard_depth and shard_bytes; no shuffle of the rows while the directory is small."""
     spark = docs.sparkSession
-    keyed = docs.withColumn("_key", key_of(id_col, text_col))
+    key, root, listing, mine = X.fresh(docs, "_key", "_root", "_list", "_own")
     sized = docs.select(key_of(id_col, text_col).alias("_key"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("_bytes"))
     buckets = directory(sized, max_bytes)
     entries = []
@@ -69,13 +72,15 @@ def assign(docs: DataFrame, *, max_bytes: int, id_col: str = "doc_id", text_col:
             entries += [(r, p, d, b) for r in range(p << (ROOT_BITS - d), (p + 1) << (ROOT_BITS - d))]
         else:
             entries.append((p >> (d - ROOT_BITS), p, d, b))
-    listed = spark.createDataFrame(entries, "_root long, p long, d int, b long").groupBy("_root").agg(F.collect_list(F.struct("p", "d", "b")).alias("_list"))
+    listed = spark.createDataFrame(entries, f"{root} long, p long, d int, b long").groupBy(root).agg(F.collect_list(F.struct("p", "d", "b")).alias(listing))
     if len(entries) <= BROADCAST_ENTRIES:
         listed = F.broadcast(listed)
-    own = F.expr(f"filter(_list, e -> shiftright(_key, {KEY_BITS} - e.d) = e.p)[0]")
-    found = keyed.withColumn("_root", F.shiftright("_key", KEY_BITS - ROOT_BITS)).join(listed, "_root", "left").withColumn("_own", own)
-    bits = F.when(F.col("_own.d") == 0, F.lit("")).otherwise(F.expr("lpad(bin(_own.p), _own.d, '0')"))
-    return found.select(*docs.columns, bits.alias("shard"), F.col("_own.d").alias("shard_depth"), F.col("_own.b").alias("shard_bytes"))
+    keyed = docs.withColumn(key, key_of(id_col, text_col)).withColumn(root, F.shiftright(key, KEY_BITS - ROOT_BITS))
+    found = keyed.join(listed, root, "left").withColumn(mine, F.expr(f"filter({listing}, e -> shiftright({key}, {KEY_BITS} - e.d) = e.p)[0]"))
+    own = F.col(mine)
+    bits = F.when(own["d"] == 0, F.lit("")).otherwise(F.expr(f"lpad(bin({mine}.p), {mine}.d, '0')"))
+    keep = [c for c in docs.columns if c not in ("shard", "shard_depth", "shard_bytes")]
+    return found.select(*keep, bits.alias("shard"), own["d"].alias("shard_depth"), own["b"].alias("shard_bytes"))
 
 
 #: The same by the definition: a row's depth is the least at which all that shares its prefix fits.

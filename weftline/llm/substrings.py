@@ -88,8 +88,12 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
                 *_, rows, anchor, valid = _windows(data, offsets, window)
                 at, _ = _runs(anchor, rows, valid)
                 if len(at):
-                    pair = np.unique(np.stack([anchor[at], rows[at].astype(_U)], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(X.signed(np.ascontiguousarray(pair[:, 0]))), pa.array(ids[r0 + pair[:, 1].astype(np.int64)])], names=["a", "d"])
+                    a, r = anchor[at], rows[at]
+                    order = np.lexsort((a, r))
+                    a, r = a[order], r[order]
+                    new = np.ones(len(a), bool)
+                    new[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(X.signed(a[new])), pa.array(ids[r0 + r[new]], pa.int64())], names=["a", "d"])
 
     return docs.mapInArrow(run, "a long, d long")
 
@@ -250,13 +254,18 @@ def _stay(words, anchor, valid, rows, bounds, gone, r0, window) -> np.ndarray:
         return stay
     known = _at(np.repeat(np.arange(many), sizes), values.field(0).to_numpy(zero_copy_only=False).view(_U))
     masks = values.field(1).to_numpy(zero_copy_only=False)
-    order = np.argsort(known)
-    known, masks = known[order], masks[order]
+    known, order = np.unique(known, return_index=True)
+    masks = masks[order]
+
+    met = np.zeros(len(known), bool)
 
     def look(row, value):
         key = _at(row, value)
-        i = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        return np.where(known[i] == key, masks[i], 0)
+        i = np.searchsorted(known, key)
+        i[i == len(known)] = 0
+        hit = known[i] == key
+        met[i[hit]] = True
+        return np.where(hit, masks[i], 0)
 
     change = np.zeros(len(words) + 1, np.int64)
     first, end, s = _parts(words, *_runs(anchor, rows, valid), window)
@@ -266,7 +275,8 @@ def _stay(words, anchor, valid, rows, bounds, gone, r0, window) -> np.ndarray:
         p = first + k
         p = p[(p < end) & ((got == -1) | (got >> k & 1 == 1))]
         flagged[p] = True
-    flagged |= valid & (look(rows[: len(valid)], _single(words, window)[1]) == -1)
+    if not met.all():  # the rest are windows of hot anchors
+        flagged |= valid & (look(rows[: len(valid)], _single(words, window)[1]) == -1)
     p = np.flatnonzero(flagged)
     np.add.at(change, p, 1)
     np.add.at(change, p + window, -1)

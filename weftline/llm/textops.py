@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text worked on at once; bounds the memory of a task whatever the batch holds.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
@@ -41,8 +41,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def prepare(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that long texts don't pile up in a worker, and give the executors this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     sc = spark.sparkContext
     if getattr(sc, "_weftline_shipped", False):
         return
@@ -63,6 +63,18 @@ def column(df: DataFrame, name: str, alias: str, kind: str):
     return F.col(name).cast(kind).alias(alias)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed where df has such columns (Spark doesn't tell capitals from small letters)."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the session's shared folder.
 

@@ -201,5 +201,5 @@ def digest(docs: DataFrame, labels: DataFrame, **learn_options) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, limit: float = 0.5) -> DataFrame:
     """The rows of docs that score below limit, with their columns."""
-    name = "_toxicity"
+    (name,) = X.fresh(docs, "_toxicity")
     return scored(docs, learn(docs, labels), score_col=name).where(F.col(name) < limit).drop(name)
