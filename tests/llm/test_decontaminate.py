@@ -67,3 +67,40 @@ def test_remove_keeps_other_columns(spark):
     got = {r["doc_id"]: r for r in D.decontaminate(docs, items).collect()}
     assert set(got) == {1, 3}
     assert got[1]["text"] == "aa bb " * 20 + " cc" and got[1]["n_chars"] == 123 and got[3]["n_chars"] == 9
+
+
+def removed(text, items, max_coverage=0.5, k=10):
+    """The text without its hit words and what lies between neighbouring ones; None if too many are hit."""
+    at = [m.span() for m in WORD.finditer((text or "").translate(FOLD))]
+    w, hit = words(text), set()
+    for _, t in items:
+        x = words(t)
+        for q in range(max(1, len(x) - k + 1) if x else 0):
+            win = x[q : q + k]
+            for p in range(len(w) - len(win) + 1):
+                if w[p : p + len(win)] == win:
+                    hit |= set(range(p, p + len(win)))
+    if len(hit) > max_coverage * len(w):
+        return None
+    out, end = "", 0
+    for p in sorted(hit):
+        out += text[end if p - 1 not in hit else at[p][0] : at[p][0]]
+        end = at[p][1]
+    return out + text[end:] if hit else text
+
+
+def test_remove_in_shards_equals_brute_force(spark):
+    w = [f"w{i}" for i in range(100)]
+    items = [(i, " ".join(w[i * 5 : i * 5 + 10])) for i in range(12)] + [(100 + i, f"a{i} b{i} c{i}") for i in range(12)]
+    docs = [(0, " ".join(f"f{i}" for i in range(60)) + " " + " ".join(w[:15]) + " end"), (1, " ".join(w[:65]) + " " + " ".join(f"g{i}" for i in range(80)))]
+    # 6 of 10 words hit, by two items
+    docs += [(10 + i * 12 + j, f"a{i} b{i} c{i} x y z u a{j} b{j} c{j}") for i in range(12) for j in range(12)]
+    # the words left around a cut make another item
+    docs += [(1000 + i * 12 + j, f"p q r s a{j} a{i} b{i} c{i} b{j} c{j} p q r s t") for i in range(12) for j in range(12)]
+    docs += [(2000, "é " * 9 + "A0, b0; c0 - a1 b1 c1 ü tail more words here to keep it"), (2001, None), (2002, "")]
+    want = {d: t for d, text in docs if (t := removed(text, items)) is not None or text is None}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = D.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), shard_words=20)
+    assert got.columns == ["doc_id", "text"]
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == want
+    assert {r["doc_id"]: r["text"] for r in D.decontaminate(df, spark.createDataFrame(items, "item_id long, text string")).collect()} == want

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textops as X
 from .automaton import SuffixAutomaton
@@ -123,12 +124,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(text: bytes, spans, starts, ends) -> bytes:
+def _cut(text: bytes, spans) -> bytes:
     """The text without the spans' words and what lies between them."""
     out, at = [], 0
-    for a, b in spans:
-        out.append(text[at : int(starts[a])])
-        at = int(ends[b])
+    for _, _, start, end in spans:
+        out.append(text[at:start])
+        at = end
     return b"".join([*out, text[at:]])
 
 
@@ -223,35 +224,74 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_coverage: float = 0.5, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The documents without the words of any window; documents with more than max_coverage of their words hit go.
 
-    All columns are kept; n_chars, where there is one, is counted anew for texts that changed.
+    All columns are kept; n_chars, where there is one, is counted anew for texts
+    that changed. With several shards of items the spans of all are found on the
+    input text; the last map merges them by row, cuts and applies max_coverage.
     """
     X.prepare(docs.sparkSession)
-    for items_k in item_shards(items, item_id, item_text, shard_words):
-        docs = _remove_one(docs, text_col, items_k, window, max_coverage)
+    shards = item_shards(items, item_id, item_text, shard_words)
+    schema, n = docs.schema, len(shards)
+    for k, items_k in enumerate(shards):
+        docs = _remove(docs, schema, text_col, items_k, window, max_coverage) if k + 1 == n else _marked(docs, schema, text_col, items_k, window)
     return docs
 
 
-def _remove_one(docs: DataFrame, text_col: str, items, window: int, max_coverage: float) -> DataFrame:
+#: The spans that earlier shards found, beside the columns of the documents: words and the bytes that they take.
+_HITS, _HIT = "_weftline_hits", pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+
+
+def _hits(batch: pa.RecordBatch, at: int, matcher: Matcher):
+    """For each row: (word count, spans (first, last, start, end) of the earlier shards and of this one, merged)."""
+    earlier = batch.column(_HITS).to_pylist() if _HITS in batch.schema.names else [()] * batch.num_rows
+    for before, (n, spans, _, starts, ends) in zip(earlier, matcher.texts(batch.column(at)), strict=True):
+        hits = [tuple(x.values()) for x in before] + [(a, b, int(starts[a]), int(ends[b])) for a, b in spans]
+        out: list[tuple[int, int, int, int]] = []
+        for a, b, x, y in sorted(hits):
+            if out and a <= out[-1][1] + 1:
+                out[-1] = (out[-1][0], max(b, out[-1][1]), out[-1][2], max(y, out[-1][3]))
+            else:
+                out.append((a, b, x, y))
+        yield n, out
+
+
+def _marked(docs: DataFrame, schema, text_col: str, items, window: int) -> DataFrame:
+    """The documents as they are, with the spans that these items hit added to those of earlier shards."""
+    key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
+    names = schema.names
+    hits = T.ArrayType(T.StructType([T.StructField(f.name, T.IntegerType() if f.type == pa.int32() else T.LongType()) for f in _HIT]))
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            found = [[dict(zip(("first", "last", "start", "end"), h, strict=True)) for h in spans] for _, spans in _hits(b, names.index(text_col), _matcher(key, items, window))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found, pa.list_(_HIT))], names=[*names, _HITS])
+
+    return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField(_HITS, hits)]))
+
+
+def _remove(docs: DataFrame, schema, text_col: str, items, window: int, max_coverage: float) -> DataFrame:
     key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
+    names = schema.names
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            at = b.schema.get_field_index(text_col)
+            at = names.index(text_col)
             column, keep, changed = b.column(at), np.ones(b.num_rows, bool), {}
-            for r, (n, spans, _, starts, ends) in enumerate(_matcher(key, items, window).texts(column)):
+            for r, (n, spans) in enumerate(_hits(b, at, _matcher(key, items, window))):
                 if spans:
-                    if sum(y - x + 1 for x, y in spans) > max_coverage * n:
+                    if sum(y - x + 1 for x, y, _, _ in spans) > max_coverage * n:
                         keep[r] = False
                     else:
-                        changed[r] = _cut(column[r].as_py().encode(), spans, starts, ends).decode()
-            columns = list(b.columns)
+                        changed[r] = _cut(column[r].as_py().encode(), spans).decode()
+            columns = list(b.columns[: len(names)])
             if changed:
                 columns[at] = pa.array([changed.get(r, v) for r, v in enumerate(column.to_pylist())], column.type)
-                if "n_chars" in b.schema.names:
-                    c = b.schema.get_field_index("n_chars")
+                if "n_chars" in names:
+                    c = names.index("n_chars")
                     columns[c] = pa.array([len(changed[r]) if r in changed else v for r, v in enumerate(columns[c].to_pylist())], columns[c].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema)
