@@ -51,3 +51,20 @@ def test_nothing_usable(spark):
     df = spark.createDataFrame([(1, None, [1.0]), (2, 1, None)], "vec_id long, label int, embedding array<double>")
     assert sorted(map(tuple, itq.links(df).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
     assert itq.links(df.limit(0)).count() == 0
+
+
+def test_vectors_that_share_a_large_mean(spark):
+    r = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v)
+    common, rows = unit(r.normal(size=64)), []
+    for i in range(400):
+        n = r.normal(size=64)
+        x = unit(0.9**0.5 * common + 0.1**0.5 * unit(n - (n @ common) * common))
+        o = r.normal(size=64)
+        y = 0.981 * x + (1 - 0.981**2) ** 0.5 * unit(o - (o @ x) * x)
+        rows += [(2 * i, i % 40, x.tolist()), (2 * i + 1, i % 40, y.tolist())]
+    want = brute(rows)
+    got = {q["vec_id"]: q["n_links"] for q in itq.links(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    found, total = sum(got.values()), sum(n for n, _ in want.values())
+    assert all(got[i] <= want[i][0] for i in want) and total >= 800
+    assert found >= 0.93 * total, (found, total)

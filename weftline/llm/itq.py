@@ -6,7 +6,10 @@ little quantisation error (alternating: codes from signs, rotation from an
 orthogonal Procrustes problem). A code of b bits is cut into bands of about 13
 bits, and each band is the key of a Hamming table. All rows are in all tables;
 two vectors meet if a band agrees, and so do all whose codes differ in fewer
-bits than there are bands, and most of the others. What meets is compared by
+bits than there are bands, and most of the others. Where vectors share a large
+mean, or otherwise too few pairs meet, further rotations add tables: recall is
+measured on pairs that sampled rows have in the input (by brute force) and on
+pairs planted at the threshold. What meets is compared by
 Hamming distance and then by the cosine of the original vectors, in double
 precision.
 
@@ -38,6 +41,8 @@ from .graph import components
 SAMPLE_ROWS, LEARN_ROUNDS = 10_000, 30
 #: Bits of a band, and rows of a block.
 BAND_BITS, BLOCK = 13, 1_024
+#: Rotations at most; the recall that pairs of the input and pairs planted at the threshold must reach; rows that it is measured on.
+ROTATIONS, RECALL, QUERY_ROWS = 32, 0.97, 256
 _U = np.uint64
 
 
@@ -55,6 +60,51 @@ def learn_rotation(x: np.ndarray, rounds: int = LEARN_ROUNDS, seed: int = 5) ->
     return mean, axes @ q
 
 
+def _met(x: np.ndarray, y: np.ndarray, mean, projection, bands) -> np.ndarray:
+    """Whether the unit vectors x[i] and y[i] agree in a band."""
+    same = (((x - mean) @ projection) >= 0) == (((y - mean) @ projection) >= 0)
+    return np.any([same[:, a:b].all(1) for a, b in bands], 0)
+
+
+def _true_pairs(vectors: DataFrame, labels: np.ndarray, queries: np.ndarray, d: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs at the threshold of these unit query vectors and all vectors of (label, e), by brute force; of a batch, 4 for each query at most."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                own = part.column(0).to_numpy()
+                e = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, d))
+                cos = queries @ e.T
+                hit = (cos >= threshold) & (cos < 1 - 1e-12) & (labels[:, None] == own[None, :])
+                q, r = np.nonzero(hit & (hit.cumsum(1) <= 4))
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array([x.tobytes() for x in e[r]], pa.binary())], names=["q", "e"])
+
+    got = vectors.mapInArrow(run, "q long, e binary").limit(20_000).collect()
+    return queries[[r["q"] for r in got]].reshape(-1, d), np.frombuffer(b"".join(bytes(r["e"]) for r in got)).reshape(-1, d)
+
+
+def _tables(x: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """The mean, projections side by side and their bands: rotations are added until true pairs, and pairs planted at the threshold around x, meet."""
+    d = x.shape[1]
+    random = np.random.default_rng(7)
+    other = random.normal(size=x[:2000].shape)
+    other -= (other * x[:2000]).sum(1, keepdims=True) * x[:2000]
+    other /= np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-12)
+    planted = x[:2000], threshold * x[:2000] + math.sqrt(max(0.0, 1 - threshold * threshold)) * other
+    cuts = np.linspace(0, d, max(1, math.ceil(d / BAND_BITS)) + 1).astype(int)
+    projections, bands, missed = [], [], [np.ones(len(p[0]), bool) for p in (pairs, planted)]
+    for k in range(ROTATIONS):
+        mean, projection = learn_rotation(x, LEARN_ROUNDS if k == 0 else 3, 5 + k)
+        own = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        missed = [m & ~_met(*p, mean, projection, own) for m, p in zip(missed, (pairs, planted), strict=True)]
+        projections.append(projection)
+        bands += [(k * d + a, k * d + b) for a, b in own]
+        if all(m.mean() <= 1 - RECALL for m in missed if len(m)):
+            break
+    return mean, np.concatenate(projections, 1), bands
+
+
 def _usable(e):
     """Null unless all components are finite numbers and one isn't zero."""
     plain = F.size(e) > 0
@@ -120,10 +170,10 @@ def links(vectors: DataFrame, *, id_col: str = "vec_id", label_col: str = "label
     counts, spans = None, None
     for d in [r["d"] for r in member.select("d").distinct().collect()]:  # usually one length
         of_d = single.where(F.col("d") == d)
-        x = np.array([r["e"] for r in of_d.orderBy(F.xxhash64("r"), "r").limit(sample_rows).select("e").toLocalIterator()], float)
-        mean, projection = learn_rotation(_unit(x))
-        cuts = np.linspace(0, d, max(1, math.ceil(d / BAND_BITS)) + 1).astype(int)
-        bands = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        sampled = of_d.orderBy(F.xxhash64("r"), "r").limit(sample_rows).select("label", "e").collect()
+        x = _unit(np.array([r["e"] for r in sampled], float))
+        some = np.array([r["label"] for r in sampled[:QUERY_ROWS]])
+        mean, projection, bands = _tables(x, _true_pairs(of_d.select("label", "e"), some, x[:QUERY_ROWS], d, threshold), threshold)
         found = _compared(_coded(of_d.select("r", "label", "e"), d, mean, projection, bands, kind), of_d.select("r", "copies"), d, bands, threshold, radius, kind)
         found = X.checkpointed(found)
         part, edge = found.where("n is not null").select("r", "n"), found.where("n is null").select(F.col("r").alias("x"), F.col("other").alias("y"))
@@ -147,17 +197,18 @@ def _compared(coded: DataFrame, copies: DataFrame, d: int, bands, threshold: flo
     sent = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("label", "band", "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "r", "copies", "code", "e")
     at = ["label", "band", "key", "i", "j"]
     dealt = sent.repartition(X.scaled_partitions(spark), *at).sortWithinPartitions(*at)
-    edges = np.array([x for x, _ in bands] + [d])
+    width = bands[-1][1]
+    edges = np.array([x for x, _ in bands] + [width])
 
     def compare(own, r, n, codes, e, band, i, j):
-        bits = np.unpackbits(np.frombuffer(b"".join(codes), np.uint8).reshape(len(r), -1), axis=1)[:, :d]
+        bits = np.unpackbits(np.frombuffer(b"".join(codes), np.uint8).reshape(len(r), -1), axis=1)[:, :width]
         a, b = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i != j else (np.arange(len(r)),) * 2
         if not len(a) or not len(b):
             return None
         link = e[a] @ e[b].T >= threshold
         p, q = np.nonzero(link)
         differ = bits[a[p]] != bits[b[q]]
-        ok = np.ones(len(p), bool) if radius is None else differ.sum(1) <= radius
+        ok = np.ones(len(p), bool) if radius is None else differ[:, :d].sum(1) <= radius
         for k in range(band):  # counted in an earlier band
             ok &= differ[:, edges[k] : edges[k + 1]].any(1)
         ok &= a[p] != b[q]
