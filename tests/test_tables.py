@@ -199,3 +199,11 @@ def test_ranking_quality(spark):
 def test_greedy_ties_go_by_name(spark):
     p = spark.createDataFrame([("g", "b", "y", 0.5), ("g", "a", "y", 0.5), ("g", "a", "x", 0.5)], "g string, l string, r string, s double")
     assert {(r["l"], r["r"]) for r in columns.greedy(p, ["g"], "l", "r", "s").collect()} == {("a", "x"), ("b", "y")}
+
+
+def test_stars_without_a_common_label_count(spark):
+    rows = [("q", "n1", "+a"), ("q", "n2", "+b"), ("half", "m1", "+a"), ("half", "m2", "+z"), ("none", "k1", "+y"), ("none", "k2", "+w"), ("none", "k2", "+v")]
+    s = spark.createDataFrame(rows, "graph_id string, node string, label string")
+    got = {r["b_id"]: r["distance"] for r in provenance.mapping_distance(s.where("graph_id = 'q'"), s).collect()}
+    assert got == {"q": 0, "half": 1, "none": 4}
+    assert provenance.nearest(s.where("graph_id = 'q'"), s, 3).count() == 3
