@@ -78,17 +78,33 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the session's shared folder.
 
-    The folder is spark.checkpoint.dir; only where that is unset (tests on one
-    machine) a local one is set.
+    The folder is spark.checkpoint.dir; only where that is unset and all runs on
+    one machine (tests) a local one is set.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(where or "/tmp/weftline-checkpoints")
     return df.checkpoint(eager=True)
 
 
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the files of checkpoints that no later step reads (selections of them count as they)."""
+    for df in frames:
+        plan = df._jdf.queryExecution().optimizedPlan() if df is not None else None
+        while plan is not None and plan.children().size() == 1:
+            plan = plan.children().head()
+        if plan is None or not hasattr(plan, "rdd") or not plan.nodeName().startswith("LogicalRDD"):
+            continue
+        path = plan.rdd().getCheckpointFile()
+        if path.isDefined():
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path.get())
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def scaled_partitions(spark: SparkSession, factor: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * factor
 
