@@ -33,3 +33,10 @@ def test_deeper_than_the_roots(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = S.assign(df, max_bytes=120).collect()
     assert sorted(((x["doc_id"], x["shard"], x["shard_depth"], x["shard_bytes"]) for x in got), key=str) == brute(docs, 120)
+
+
+def test_one_id_with_most_rows(spark):
+    docs = [(7, "x" * 50)] * 300 + [(i, "x" * 50) for i in range(100, 130)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumnRenamed("shard_x", "SHARD")
+    got = S.assign(df, max_bytes=120).collect()
+    assert sorted(((x["doc_id"], x["shard"], x["shard_depth"], x["shard_bytes"]) for x in got), key=str) == brute(docs, 120)
