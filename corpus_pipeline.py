@@ -7,13 +7,11 @@ their operators define.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import bagminhash, decontaminate, mixing, sharding, toxicity
 from weftline.llm.queries import DOMAIN_WEIGHTS, SHARD_BYTES, domains
-from weftline.llm.textops import checkpointed, table
+from weftline.llm.textops import discard, table, written
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,17 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared folder and read again as the next one's input."""
+    """All stages over documents, each written as Parquet to the shared folder and read again as the next one's input.
+
+    A stage's rows are deleted when the next one's are written.
+    """
     docs = table(spark, sf_dir, "documents")
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 == len(STAGES):
-            break
-        if shared:
-            path = f"{shared}/pipeline-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-        else:
-            docs = checkpointed(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,14 +10,19 @@ sum of r * tokens * posterior, match the targets:
 by projected gradient steps (with Nesterov's momentum, scaled by tokens, clipped
 at 0). A step needs the domains' sums only. They are aggregated over all
 documents; a document's rate follows from its posterior and the few vectors of
-the steps so far, so rates are never stored, sent or collected.
+the steps so far, so rates are never stored, sent or collected. Documents of
+almost equal posteriors (CELLS steps a domain) have almost equal rates, so most
+steps run over one row for each such cell; the last ones run over all documents,
+until the sums of these meet the tolerance.
 
 The rate takes effect as copies: its whole part, and one more with the
 probability of the rest, decided by a hash of the row.
 
 Defined cases: null and empty texts have no tokens, so no target asks for
-another rate than 1; without labels of two domains all posteriors are equal;
-rows that repeat have one rate and each its own copies.
+another rate than 1; without labels of two domains all posteriors are equal; a
+domain without labels has posterior 0 where others have labels; rows that repeat
+have one rate and the same copies each; a long text is one row like others; an
+empty table gives no row; columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -33,6 +38,10 @@ from .labelled import TRAIN_ROWS, training
 from .nbsvm import BITS, _blocks, columns
 
 
+#: Steps of a domain's posterior in which documents are counted together.
+CELLS = 256
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(-1, keepdims=True))
     return e / e.sum(-1, keepdims=True)
@@ -55,7 +64,7 @@ def fit_softmax(rows: list[np.ndarray], y: np.ndarray, k: int, rounds: int = 6,
 
 
 def learn_domains(docs: DataFrame, labels: DataFrame, domain_col: str, *, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS):
-    """(weights, priors) over the domains 0 ... k - 1, or None."""
+    """(weights, whether it has labels) of the domains 0 ... the largest labelled, or None where there are fewer than two."""
     X.prepare(docs.sparkSession)
 
     def emit(batches):
@@ -70,13 +79,19 @@ def learn_domains(docs: DataFrame, labels: DataFrame, domain_col: str, *, id_col
     y = got["y"].to_numpy()
     if len(np.unique(y)) < 2:
         return None
-    return fit_softmax([np.frombuffer(v, np.int32) for v in got["cols"].to_pylist()], y, int(y.max()) + 1).astype(np.float32)
+    k = int(y.max()) + 1
+    return fit_softmax([np.frombuffer(v, np.int32) for v in got["cols"].to_pylist()], y, k).astype(np.float32), np.bincount(y, minlength=k) > 0
 
 
-def posteriors(docs: DataFrame, weights, k: int, *, text_col: str = "text", tokens: str = "_tokens", posterior: str = "_posterior") -> DataFrame:
+def posteriors(docs: DataFrame, learned, k: int, *, text_col: str = "text", tokens: str = "_tokens", posterior: str = "_posterior") -> DataFrame:
     """docs with the token count (words) and the domain posterior of each row."""
     X.prepare(docs.sparkSession)
     at = docs.columns.index(text_col)
+    weights, open_ = None, np.ones(k, bool)
+    if learned is not None:
+        have = min(k, learned[0].shape[1])
+        weights, open_ = np.zeros((1 << BITS, k), np.float32), np.zeros(k, bool)
+        weights[:, :have], open_[:have] = learned[0][:, :have], learned[1][:have]
     schema = StructType([*docs.schema.fields, StructField(tokens, LongType()), StructField(posterior, ArrayType(DoubleType()))])
 
     def run(batches):
@@ -92,6 +107,7 @@ def posteriors(docs: DataFrame, weights, k: int, *, text_col: str = "text", toke
                     unit = np.maximum(np.bincount(row, minlength=many), 1) ** -0.5
                     for j in range(k):
                         z[r0 : r0 + many, j] = np.bincount(row, weights[col, j].astype(float), many) * unit
+            z[:, ~open_] = -np.inf
             p = _softmax(z)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, k, dtype=np.int32)), pa.array(p.ravel()))], names=[*b.schema.names, tokens, posterior])
 
@@ -126,7 +142,7 @@ def fit_rates(table: DataFrame, weights: list[float], *, anchor: int | None = No
     share = np.array(weights, float) / sum(weights)
     plan = Plan(pull)
 
-    def sums(ahead: bool, rate=True):
+    def sums(rows, ahead: bool, rate=True):
         def run(batches):
             total = np.zeros(k)
             for b in batches:
@@ -135,24 +151,32 @@ def fit_rates(table: DataFrame, weights: list[float], *, anchor: int | None = No
                 total += (t * (plan.rates(p, ahead) if rate else 1.0)) @ p
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(total)], names=["k", "s"])
 
-        got = table.select("_tokens", "_posterior").mapInArrow(run, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
+        got = rows.select("_tokens", "_posterior").mapInArrow(run, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
         out = np.zeros(k)
         for r in got:
             out[r["k"]] = r["s"]
         return out
 
-    now = sums(False, rate=False)
+    now = sums(table, False, rate=False)
     total = now.sum()
     if total <= 0:
         return plan
     target = share * (total if anchor is None or share[anchor] <= 0 else headroom * now[anchor] / share[anchor])
-    current = now
-    for _ in range(steps):
-        gap = (current - target) / total
-        if np.abs(gap).max() < tolerance:
-            break
-        plan.gaps.append(gap)
-        current = sums(True)
+    cell = F.transform("_posterior", lambda p: F.round(p * CELLS).cast("int"))
+    mean = F.array(*(F.sum(F.col("_posterior")[j] * F.col("_tokens")) / F.sum("_tokens") for j in range(k)))
+    cells = table.where("_tokens > 0").groupBy(cell.alias("cell")).agg(F.sum("_tokens").cast("long").alias("_tokens"), mean.alias("_posterior"))
+    spread = X.checkpointed(cells)
+    cells = X.checkpointed(spread.coalesce(1 + spread.count() // 50_000))
+    X.discard(spread)
+    for rows, most in ((cells, steps), (table, 5)):
+        current = now if rows is cells else sums(table, True)
+        for _ in range(most):
+            gap = (current - target) / total
+            if np.abs(gap).max() < tolerance:
+                break
+            plan.gaps.append(gap)
+            current = sums(rows, True)
+    X.discard(cells)
     return plan
 
 
@@ -160,16 +184,15 @@ def mixed(docs: DataFrame, labels: DataFrame, domain_col: str, weights: list[flo
     """docs with each row as often as its rate says; with apply=False for each row its id, n_tokens, posterior, rate and copies."""
     k = len(weights)
     learned = learn_domains(docs, labels, domain_col, id_col=id_col, text_col=text_col, rows=rows)
-    if learned is not None and learned.shape[1] < k:
-        learned = np.pad(learned, ((0, 0), (0, k - learned.shape[1])), constant_values=0)
-    own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_row"), F.col(text_col).alias("_text"))
-    table = X.checkpointed(posteriors(own, learned, k, text_col="_text").drop("_text"))
-    plan = fit_rates(table, weights, **fit_options)
     tokens, posterior, row_name, rate_name, copies, one = ["_tokens", "_posterior", "_row", "_rate", "_copies", "_one"]
-    full = table
-    if apply:
+    if apply:  # texts are classified once: they are written with their posteriors
         tokens, posterior, row_name, rate_name, copies, one = X.fresh(docs, tokens, posterior, row_name, rate_name, copies, one)
-        full = posteriors(docs.withColumn(row_name, F.xxhash64(id_col, text_col)), learned, k, text_col=text_col, tokens=tokens, posterior=posterior)
+        full = X.written(posteriors(docs.withColumn(row_name, F.xxhash64(id_col, text_col)), learned, k, text_col=text_col, tokens=tokens, posterior=posterior))
+        plan = fit_rates(full.select(F.col(tokens).alias("_tokens"), F.col(posterior).alias("_posterior")), weights, **fit_options)
+    else:
+        own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_row"), F.col(text_col).alias("_text"))
+        full = X.checkpointed(posteriors(own, learned, k, text_col="_text").drop("_text"))
+        plan = fit_rates(full, weights, **fit_options)
     at, row = full.columns.index(posterior), full.columns.index(row_name)
 
     def rate(batches):

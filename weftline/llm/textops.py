@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -75,25 +76,44 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the session's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local folder only where that is unset and all runs on one machine (tests)."""
+    sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir")
+    if not where and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return where or "/tmp/weftline-checkpoints"
+
 
-    The folder is spark.checkpoint.dir; only where that is unset and all runs on
-    one machine (tests) a local one is set.
-    """
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the session's shared folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = sc.getConf().get("spark.checkpoint.dir")
-        if not where and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(where or "/tmp/weftline-checkpoints")
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: smaller than a checkpoint where there are texts."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._weftline_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(*frames: DataFrame | None) -> None:
-    """Delete the files of checkpoints that no later step reads (selections of them count as they)."""
+    """Delete the files of checkpoints (or selections of them) and written tables that no later step reads."""
     for df in frames:
+        if getattr(df, "_weftline_path", None):
+            _delete(df.sparkSession, df._weftline_path)
+            continue
         plan = df._jdf.queryExecution().optimizedPlan() if df is not None else None
         while plan is not None and plan.children().size() == 1:
             plan = plan.children().head()
@@ -101,8 +121,7 @@ def discard(*frames: DataFrame | None) -> None:
             continue
         path = plan.rdd().getCheckpointFile()
         if path.isDefined():
-            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path.get())
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(df.sparkSession, path.get())
 
 
 def scaled_partitions(spark: SparkSession, factor: int = 1) -> int:
