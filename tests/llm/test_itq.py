@@ -68,3 +68,28 @@ def test_vectors_that_share_a_large_mean(spark):
     found, total = sum(got.values()), sum(n for n, _ in want.values())
     assert all(got[i] <= want[i][0] for i in want) and total >= 800
     assert found >= 0.93 * total, (found, total)
+
+
+def test_rows_that_share_an_id(spark):
+    r = np.random.default_rng(5)
+    a, b = r.normal(size=(2, 64))
+    near = b + 0.01 * r.normal(size=64)
+    rows = [(1, 0, a.tolist()), (1, 0, b.tolist()), (2, 0, a.tolist()), (3, 0, near.tolist()), (None, 0, a.tolist())]
+    got = sorted(map(str, ((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in itq.links(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect())))
+    assert got == sorted(map(str, [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (None, 0, None, True)]))
+
+
+def test_recall_by_length(spark):
+    """Pairs at the threshold are found whatever the vectors' length."""
+    r = np.random.default_rng(9)
+    for d in (8, 16, 32, 64):
+        x = r.normal(size=(500, d))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        o = r.normal(size=(500, d))
+        o -= (o * x).sum(1, keepdims=True) * x
+        o /= np.linalg.norm(o, axis=1, keepdims=True)
+        y = 0.981 * x + (1 - 0.981**2) ** 0.5 * o
+        rows = [(2 * i + k, i % 50, [float(c) for c in v[i]]) for i in range(500) for k, v in enumerate((x, y))]
+        want = sum(n for n, _ in brute(rows).values())
+        got = sum(q["n_links"] for q in itq.links(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect())
+        assert 0.93 * want <= got <= want, (d, got, want)

@@ -19,10 +19,11 @@ band where it agrees) and links that span the same components, never the pairs.
 Large buckets are cut into blocks, and pairs of blocks are spread over tasks.
 Equal vectors are one vector with a count first.
 
-Defined cases: labels that are null, and vectors that are null, empty, zero or
-hold null or non-finite components, link with nothing; vectors of different
-lengths don't link; rows that share an id are each their own vector while links
-are counted, and have one component.
+Defined cases: labels that are null, rows with a null id, and vectors that are
+null, empty, zero or hold null or non-finite components, link with nothing;
+vectors of different lengths don't link; rows that share an id are each judged by
+their own vector (two rows, two results); an empty table gives no row; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .graph import components
+from .graph import broadcast_if, components
 
 #: Vectors that the rotation is learned on, at most, and rounds of learning.
 SAMPLE_ROWS, LEARN_ROUNDS = 10_000, 30
@@ -161,14 +162,12 @@ def links(vectors: DataFrame, *, id_col: str = "vec_id", label_col: str = "label
     vectors = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("e"))
     rows = vectors.withColumn("e", F.when(F.col("vec_id").isNotNull() & F.col("label").isNotNull(), _usable(F.col("e"))))
     good = rows.where("e is not null")
-    # equal vectors of a label: one stands for all
+    # equal vectors of a label: one stands for all, under a number of its own (r)
     same = good.select("vec_id", "label", F.size("e").alias("d"), F.xxhash64("e").alias("h1"), F.xxhash64(F.lit(1), "e").alias("h2"), "e")
-    groups = same.groupBy("label", "d", "h1", "h2").agg(F.min("vec_id").alias("r"), F.count("*").alias("copies"))
-    member = X.checkpointed(same.drop("e").join(groups, ["label", "d", "h1", "h2"]).select("vec_id", "d", "r", "copies", "h1", "h2"))
-    stands = member.where("vec_id = r").groupBy("r", "d", "h1", "h2").agg(F.first("copies").alias("copies"))
-    single = same.join(stands, (F.col("vec_id") == F.col("r")) & (same["d"] == stands["d"]) & (same["h1"] == stands["h1"]) & (same["h2"] == stands["h2"])).select("r", same["label"], same["d"], "copies", "e").dropDuplicates(["r", "d", "label", "copies"])
+    key = ["label", "d", "h1", "h2"]
+    single = X.checkpointed(same.groupBy(*key).agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("e").alias("e")).withColumn("r", F.monotonically_increasing_id()))
     counts, spans = None, None
-    for d in [r["d"] for r in member.select("d").distinct().collect()]:  # usually one length
+    for d in [r["d"] for r in single.select("d").distinct().collect()]:  # usually one length
         of_d = single.where(F.col("d") == d)
         sampled = of_d.orderBy(F.xxhash64("r"), "r").limit(sample_rows).select("label", "e").collect()
         x = _unit(np.array([r["e"] for r in sampled], float))
@@ -181,11 +180,17 @@ def links(vectors: DataFrame, *, id_col: str = "vec_id", label_col: str = "label
     if counts is None:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     total = counts.groupBy("r").agg(F.sum("n").alias("n"))
-    label = components(spans).withColumnRenamed("v", "r")
-    # rows of an id with several vectors add up their links and share a component
-    per_id = member.groupBy("vec_id", "r").agg(F.first("copies").alias("copies"), F.count("*").alias("own")).join(total, "r", "left").join(label, "r", "left")
-    per_id = per_id.groupBy("vec_id").agg(F.max(F.coalesce("n", F.lit(0)) + F.col("copies") - F.col("own")).alias("n_links"), F.min(F.coalesce("label", "r")).alias("component_id"))
-    return vectors.select("vec_id").join(per_id, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    label = components(X.checkpointed(spans))
+    # of each component the smallest id
+    tops = single.select(F.col("r").alias("v"), "least").join(broadcast_if(label), "v").groupBy("label").agg(F.min("least").alias("component_id"))
+    placed = label.join(tops, "label").select(F.col("v").alias("r"), "component_id")
+    found = single.select("r", *key, "least", "copies").join(total, "r", "left").join(placed, "r", "left")
+    # written, so that the join deals out both sides and can split a vector of many copies
+    found = X.checkpointed(found.select(*key, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component_id", "least").alias("component_id")))
+    X.discard(single, label)
+    linked = same.select("vec_id", *key).join(found, key).select("vec_id", "n_links", "component_id")
+    alone = rows.where("e is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def _compared(coded: DataFrame, copies: DataFrame, d: int, bands, threshold: float, radius: int | None, kind: type) -> DataFrame:
