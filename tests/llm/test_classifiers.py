@@ -80,6 +80,35 @@ def test_folding():
     assert toxicity.fold("") == " " and toxicity.fold("ΙDІОТ") == " idiot "
 
 
+def test_each_lookalike_folds_to_its_letter():
+    import unicodedata
+
+    for sign, letter in toxicity.LOOKALIKES.items():
+        assert toxicity.fold(f"x{sign}x") == f" x{letter}x ", (sign, unicodedata.name(sign))
+    assert toxicity.fold("m\u03bfr\u03bfn idi\u03bft \u0455cum") == " moron idiot scum "
+
+
+def test_a_column_of_the_scores_name_is_replaced(spark):
+    df, none = spark.createDataFrame([(1, "you idiot, what a moron", "x"), (2, "a fine day", None)], "doc_id long, text string, Toxicity string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = toxicity.scored(df, toxicity.learn(df, none))
+    assert got.columns == ["doc_id", "text", "toxicity"] and [r["toxicity"] >= 0.5 for r in got.collect()] == [True, False]
+    model = (np.zeros(1 << nbsvm.BITS), [1.0, 0.0])
+    for m in (None, model):
+        got = nbsvm.scored(df.withColumnRenamed("Toxicity", "quality_score"), m)
+        assert got.columns == ["doc_id", "text", "quality_score"] and {r["quality_score"] for r in got.collect()} == {0.5}
+    assert toxicity.digest(df.limit(0), none).count() == nbsvm.digest(df.limit(0), none).count() == 0
+
+
+def test_many_exceptions_in_a_long_text():
+    import time
+
+    lex = toxicity.Lexicon({" trash ": 3.0}, ["trash can"])
+    began = time.time()
+    assert np.expm1(lex.features("the trash can and " * 50_000)[0]) == pytest.approx(0)
+    assert np.expm1(lex.features("the trash can and " * 50_000 + "trash")[0]) == pytest.approx(3)
+    assert time.time() - began < 20
+
+
 def test_lexicon_counts_and_exceptions():
     lex = toxicity.Lexicon({" trash ": 3.0, " clown ": 3.0, " clow": 1.0, " idio": 2.0}, ["trash can", "class clown"])
     total = lambda t: np.expm1(lex.features(t)[0])

@@ -8,8 +8,10 @@ scaled indicators is fitted by dual coordinate descent. A logistic curve, fitted
 on rows that another fit of the model left out, turns margins into scores.
 
 Defined cases: null and empty texts have the constant feature alone and get the
-score that it gives; without labels of both classes all scores are 0.5; no
-other column than the text is read for a score.
+score that it gives; a very long text is worked on by itself, in memory of some
+50 times its bytes; rows that repeat score alike; without labels of both classes
+(or in an empty table) all scores are 0.5; no other column than the text is read
+for a score; a column of the score's name that is there already is replaced.
 """
 
 from __future__ import annotations
@@ -147,6 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_
 def scored(docs: DataFrame, model, *, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
     """docs with the score (0 to 1, higher: label 1 likelier) of each row's whole text; one map, no shuffle."""
     X.prepare(docs.sparkSession)
+    docs = X.without(docs, score_col, text_col)
     if model is None:
         return docs.withColumn(score_col, F.lit(0.5))
     weights, (slope, constant) = model[0].astype(np.float32), model[1]

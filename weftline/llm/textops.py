@@ -76,6 +76,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def without(df: DataFrame, name: str, text_col: str) -> DataFrame:
+    """df without the column that a result of that name replaces."""
+    if name.lower() == text_col.lower():
+        raise ValueError(f"{name!r} is the text's column")
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a local folder only where that is unset and all runs on one machine (tests)."""
     sc = spark.sparkContext

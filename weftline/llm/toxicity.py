@@ -11,8 +11,10 @@ set against the text's length, give the score through a logistic curve that is
 fitted on labelled rows which the weights were not learned from.
 
 Defined cases: null and empty texts match nothing and score as a text without
-hits; without labels of both classes only the fixed list and fixed coefficients
-are used; no other column than the text is read for a score.
+hits; a very long text takes time in proportion to its length and hits; rows that
+repeat score alike; without labels of both classes (or in an empty table) only
+the fixed list and fixed coefficients are used; no other column than the text is
+read for a score; a column of the score's name that is there already is replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 
 import ahocorasick
@@ -40,7 +43,14 @@ LEXICON_ROWS = 20_000
 #: Weight of a word of the fixed list that labelled rows don't tell about.
 PRIOR = 3.0
 # Letters of other scripts, digits and signs by what they look like.
-LOOKALIKES = dict(zip("аеорсухкмтвнізѕјԁԛԝгпιοανρτυκμεχβη", "aeopcyxkmtbhizsjdqwrniuavptukmexbh", strict=False))
+LOOKALIKES = {
+    # Cyrillic
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "г": "r", "һ": "h", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "п": "n", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "з": "z", "ӏ": "l",
+    # Greek
+    "α": "a", "β": "b", "ς": "c", "δ": "d", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "m", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "ω": "w", "ζ": "z",
+    # Latin letters that do not decompose
+    "ı": "i", "ɑ": "a", "ɡ": "g", "ł": "l", "ø": "o", "đ": "d", "ſ": "s", "ß": "ss", "æ": "ae", "œ": "oe",
+}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 #: Log odds of an entry count up to this: two rare entries weigh more than one that is frequent.
 MOST = 7.0
@@ -56,7 +66,7 @@ class _Fold(dict):
         got = []
         for d in unicodedata.normalize("NFKD", c.lower()):
             d = LOOKALIKES.get(d, DIGITS.get(d, d))
-            if unicodedata.combining(d) or unicodedata.category(d) == "Cf":
+            if len(d) == 1 and (unicodedata.combining(d) or unicodedata.category(d) == "Cf"):
                 continue
             got.append(d if d.isalnum() else " ")
         self[code] = out = "".join(got)
@@ -105,8 +115,15 @@ class Lexicon:
             else:
                 at = end - size + 1
                 best[at] = (size, max(weight, best[at][1]) if at in best else weight)  # of one beginning, the longest comes last
-        for a, b in spared:
-            for at in [x for x in best if a <= x and x + best[x][0] - 1 <= b]:
+        if spared:
+            # phrases in order of their starts; furthest: the last character that those up to each reach
+            spared.sort()
+            starts, furthest, reach = [a for a, _ in spared], [], -1
+            for _, b in spared:
+                furthest.append(reach := max(reach, b))
+            # spaces are shared by neighbours, so an entry lies inside a phrase if one that starts before or with it reaches its end
+            inside = [x for x, (size, _) in best.items() if (k := bisect_right(starts, x)) and furthest[k - 1] >= x + size - 1]
+            for at in inside:
                 del best[at]
         words = folded.count(" ") - 1 if folded.strip() else 0
         times = Counter(folded[a : a + s] for a, (s, _) in best.items())
@@ -181,6 +198,7 @@ def scored(docs: DataFrame, model: tuple[dict[str, float], list[float]], *, text
     """docs with the score (0 to 1) of each row's whole text; one map, no shuffle."""
     X.prepare(docs.sparkSession)
     weights, curve = model
+    docs = X.without(docs, score_col, text_col)
     at = docs.columns.index(text_col)
     schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
 
