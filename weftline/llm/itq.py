@@ -121,21 +121,21 @@ def _unit(e: np.ndarray) -> np.ndarray:
 
 
 def _coded(vectors: DataFrame, d: int, mean, projection, bands: list[tuple[int, int]], kind: type) -> DataFrame:
-    """(r, label, band, key, code, e) of each band of each vector; e: its bytes, in the precision that it came in."""
+    """(r, label, copies, band, key, code, e) of each band of each vector; e: its bytes, in the precision that it came in."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                e = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(part.num_rows, d)
+                e = part.column(3).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(part.num_rows, d)
                 bits = ((_unit(e) - mean) @ projection) >= 0
                 code = [np.packbits(row).tobytes() for row in bits]
                 raw = [row.tobytes() for row in e]
                 for k, (x, y) in enumerate(bands):
                     key = bits[:, x:y].astype(np.int64) @ (1 << np.arange(y - x))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(key), k, np.int32)), pa.array(key), pa.array(code, pa.binary()), pa.array(raw, pa.binary())], names=["r", "label", "band", "key", "code", "e"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(np.full(len(key), k, np.int32)), pa.array(key), pa.array(code, pa.binary()), pa.array(raw, pa.binary())], names=["r", "label", "copies", "band", "key", "code", "e"])
 
-    return vectors.mapInArrow(run, "r long, label long, band int, key long, code binary, e binary")
+    return vectors.select("r", "label", "copies", "e").mapInArrow(run, "r long, label long, copies long, band int, key long, code binary, e binary")
 
 
 def _roots(links: np.ndarray) -> np.ndarray:
@@ -173,7 +173,7 @@ def links(vectors: DataFrame, *, id_col: str = "vec_id", label_col: str = "label
         x = _unit(np.array([r["e"] for r in sampled], float))
         some = np.array([r["label"] for r in sampled[:QUERY_ROWS]])
         mean, projection, bands = _tables(x, _true_pairs(of_d.select("label", "e"), some, x[:QUERY_ROWS], d, threshold), threshold)
-        found = _compared(_coded(of_d.select("r", "label", "e"), d, mean, projection, bands, kind), of_d.select("r", "copies"), d, bands, threshold, radius, kind)
+        found = _compared(_coded(of_d, d, mean, projection, bands, kind), d, bands, threshold, radius, kind)
         found = X.checkpointed(found)
         part, edge = found.where("n is not null").select("r", "n"), found.where("n is null").select(F.col("r").alias("x"), F.col("other").alias("y"))
         counts, spans = (part, edge) if counts is None else (counts.unionByName(part), spans.unionByName(edge))
@@ -193,11 +193,11 @@ def links(vectors: DataFrame, *, id_col: str = "vec_id", label_col: str = "label
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _compared(coded: DataFrame, copies: DataFrame, d: int, bands, threshold: float, radius: int | None, kind: type) -> DataFrame:
+def _compared(coded: DataFrame, d: int, bands, threshold: float, radius: int | None, kind: type) -> DataFrame:
     """(r, n, other): counts of copies that r links with, and spanning links (n null)."""
     spark = coded.sparkSession
     buckets = coded.groupBy("label", "band", "key").agg(F.count("*").alias("many")).where("many > 1").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
-    placed = coded.join(buckets.drop("many"), ["label", "band", "key"]).join(copies, "r").withColumn("own", F.pmod(F.xxhash64(F.lit(3), "r"), F.col("blocks")).cast("int"))
+    placed = coded.join(buckets.drop("many"), ["label", "band", "key"]).withColumn("own", F.pmod(F.xxhash64(F.lit(3), "r"), F.col("blocks")).cast("int"))
     # block i meets block j >= i in one task: a row goes to the pairs (own, j) and (j, own)
     sent = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("label", "band", "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "r", "copies", "code", "e")
     at = ["label", "band", "key", "i", "j"]
