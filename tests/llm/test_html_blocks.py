@@ -67,3 +67,28 @@ def test_extract(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert [r["text"] for r in got if r["page_id"] in (2, 3)] == ["", ""]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_blocks_of_loose_markup():
+    def texts(p):
+        return [b.text for b in H.blocks_of(p)]
+
+    assert texts("<html><head><title>t</title><meta charset=utf-8><body><p>one</p></body>") == ["one"]
+    assert texts("<head><title>t</title><link rel=x><p>one<div>two</div>") == ["one", "two"]
+    assert texts("<body><svg width=1/><p>one</p><svg><path d=x><p>two</p>") == ["one", "two"]
+    assert texts("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p><object data=x><p>c</p>") == ["a x=2 b", "c"]
+    assert texts("<p>a</p><script>if (a<b) x()") == ["a"] and texts("<p>a</p><textarea>rest<p>b") == ["a"]
+
+
+def test_whole_block_counts():
+    """Words and digits of a block's end change its vector as those of its beginning do."""
+    base = "word " * 500
+    a, b, c = (H.vectors([H.Block(("body", "p"), t.strip(), 0.0)]) for t in (base, base + "other", base + "12345"))
+    assert (a != b).any() and (a[0, -4] != c[0, -4]) and a[0, -4] == 0
+
+
+def test_kept_columns_of_the_results_names(spark):
+    df = spark.createDataFrame([(1, "u", "old", "<body><p>" + "A sentence of the article, with words. " * 10 + "</p></body>")], "page_id long, url string, text string, html string")
+    got = H.extract(df, keep=("page_id", "url", "text"))
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and got.first()["text"] != "old"
+    assert H.extract(df.limit(0)).count() == 0

@@ -8,9 +8,12 @@ as context. It is trained here (train_model) on made-up pages whose layouts,
 class names, languages and lengths vary; the weights are kept in data/.
 
 Defined cases: a null or empty page gives an empty text; broken markup is read
-as far as it goes (unclosed elements end with their parents, an unended tag is
-text); scripts, styles, comments and the head are never text; nothing is cut off
-however long a page is (its block sequence is run whole).
+as far as it goes (unclosed elements end with their parents, an open head ends
+where flow content begins, an unended tag is text, an unended drawing, frame or
+object is passed over by its tag alone); scripts, styles, comments and the head
+are never text; nothing is cut off however long a page or a block is (all blocks
+and all words are read); rows that repeat give the same text each; an empty table
+gives no row; columns text and n_chars among those kept are replaced.
 """
 
 from __future__ import annotations
@@ -33,9 +36,13 @@ WEIGHTS = Path(__file__).parent / "data" / "block_lstm.npz"
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[a-z]+")
-_RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select", "object", "math", "canvas", "audio", "video"}
+_DIGITS = re.compile(r"\d")
+_RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select", "object", "canvas", "audio", "video"}
+#: Without an end these take the rest of the page.
+_TO_END = {"script", "style", "textarea", "title"}
+_IN_HEAD = _RAW | {"html", "head", "meta", "link", "base"}
 _VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img", "ruby", "rt", "rp"}
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img", "ruby", "rt", "rp", "math", "mrow", "mi", "mn", "mo", "ms", "mtext", "mfrac", "msqrt", "mroot", "msup", "msub", "msubsup", "mover", "munder", "munderover", "mspace", "mstyle", "mfenced", "semantics"}
 _SCOPE = {"div", "article", "section", "main", "td", "th", "table", "aside", "nav", "header", "footer", "form", "blockquote", "body", "ul", "ol", "li", "dd", "figure", "details"}
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -117,9 +124,16 @@ def blocks_of(page: str | None) -> list[Block]:
                     break
             continue
         if tag in _RAW:
+            if tag == "svg" and m[3].endswith("/"):
+                continue
             end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            at = end.end() if end else n if tag in _TO_END else at
             continue
+        if tag not in _IN_HEAD:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == "head":
+                    close(k)
+                    break
         ends = _ENDS.get(tag, {"p"} if tag not in _VOID else set())
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in ends:
@@ -162,13 +176,10 @@ def vectors(blocks: list[Block]) -> np.ndarray:
             slots = paths[b.path] = [_slot(t, PATH_DIM) for t in tokens]
         out[k, slots] = 1
         words = b.text.lower().split()
-        few = words[:64]
-        for w in few:
-            out[k, PATH_DIM + _slot(w, WORD_DIM)] += 1
-        out[k, PATH_DIM : PATH_DIM + WORD_DIM] /= max(1.0, len(few)) ** 0.5
+        out[k, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount([_slot(w, WORD_DIM) for w in words], minlength=WORD_DIM) / max(1.0, len(words)) ** 0.5
         n = len(b.text)
         out[k, PATH_DIM + WORD_DIM :] = (
-            np.log1p(n) / 6, np.log1p(len(words)) / 5, b.linked, b.text[-1] in ".!?…\"'", sum(b.text.count(c) for c in ".,;") / (len(words) + 1), sum(c.isdigit() for c in b.text[:200]) / min(200, n), k / len(blocks), len(blocks) < 4, any(c in b.text for c in "©|»›·")
+            np.log1p(n) / 6, np.log1p(len(words)) / 5, b.linked, b.text[-1] in ".!?…\"'", sum(b.text.count(c) for c in ".,;") / (len(words) + 1), len(_DIGITS.findall(b.text)) / n, k / len(blocks), len(blocks) < 4, any(c in b.text for c in "©|»›·")
         )
     return out
 
@@ -322,6 +333,7 @@ def main_text(pages: list[str | None], model: BiLSTM) -> list[str]:
 def extract(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """keep's columns, text and n_chars (code points) of each row; one map, no shuffle."""
     X.prepare(pages.sparkSession)
+    keep = tuple(c for c in keep if c.lower() not in ("text", "n_chars"))
     params = {k: w.astype(np.float32) for k, w in BiLSTM.load().p.items()}
     schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep), "text string, n_chars long"])
 
