@@ -22,7 +22,9 @@ settles all, so no key has more than one segment and nothing is left out.
 
 Defined cases: null or empty texts have no words; rows with a null id neither
 refer nor lose words; rows that share an id don't remove each other's words,
-each is judged with its own text; text order decides nothing, only ids do.
+each is judged with its own text; text order decides nothing, only ids do; a very
+long text is one row of a task, its windows are dealt like others; an empty table
+gives no row; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -179,18 +181,18 @@ def _segment_words(asked: DataFrame, window: int) -> DataFrame:
 
 
 def _shard_masks(segments: DataFrame, window: int) -> DataFrame:
-    """(s, mask): of the different segments of shared anchors, sorted by anchor, the windows that a smaller document has."""
+    """(a, s, mask): of the different segments of shared anchors, sorted by anchor, the windows that a smaller document has."""
 
     def solve(segments):
         """Build the automaton of some anchors' segments and stream them through it."""
         sam = SuffixAutomaton()
-        segments = [(s, m, seg.split()) for s, m, seg in segments]
-        for _, m, words in segments:
+        segments = [(a, s, m, seg.split()) for a, s, m, seg in segments]
+        for _, _, m, words in segments:
             sam.add(words, m)
         sam.settle()
         link, length, owners = sam.link, sam.length, sam.owners
         found = []
-        for s, m, words in segments:
+        for a, s, m, words in segments:
             mask = 0
             for i, (state, n) in enumerate(sam.walk(words)):
                 if n >= window:
@@ -199,8 +201,8 @@ def _shard_masks(segments: DataFrame, window: int) -> DataFrame:
                     if owners[state] < m:
                         mask |= 1 << (i - window + 1)
             if mask:
-                found.append((s, mask))
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["s", "mask"])
+                found.append((a, s, mask))
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(3)], names=["a", "s", "mask"])
 
     def run(batches):
         shard, words, current = [], 0, None
@@ -210,12 +212,12 @@ def _shard_masks(segments: DataFrame, window: int) -> DataFrame:
                     yield solve(shard)
                     shard, words = [], 0
                 current = a
-                shard.append((s, m, seg))
+                shard.append((a, s, m, seg))
                 words += seg.count(b" ") + 1
         if shard:
             yield solve(shard)
 
-    return segments.mapInArrow(run, "s long, mask long")
+    return segments.mapInArrow(run, "a long, s long, mask long")
 
 
 def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, hot_docs: int = HOT_DOCS) -> DataFrame:
@@ -237,8 +239,9 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     asked = firsts.join(shared, "a").groupBy(F.col("m").alias("doc_id")).agg(F.collect_list("s").alias("s"))
     shards = _segment_words(known.join(asked, "doc_id"), window)
     masks = _shard_masks(shards.repartition(X.scaled_partitions(spark), "a").sortWithinPartitions("a"), window)
-    judged = firsts.select("s", "m").join(masks, "s", "left")
-    gone = segments.select("s", "d").join(judged, "s").withColumn("mask", F.expr("case when d > m then -1L else mask end")).where("mask != 0").groupBy("d").agg(F.collect_list(F.struct("s", "mask")).alias("gone"))
+    both = F.struct("s", "a").alias("sa")
+    judged = firsts.select(both, "m").join(masks.select(both, "mask"), "sa", "left")
+    gone = segments.select(both, "s", "d").join(judged, "sa").withColumn("mask", F.expr("case when d > m then -1L else mask end")).where("mask != 0").groupBy("d").agg(F.collect_list(F.struct("s", "mask")).alias("gone"))
     found = known.join(gone.withColumnRenamed("d", "doc_id"), "doc_id", "left")
     return found.unionByName(base.where(F.col("doc_id").isNull()), allowMissingColumns=True)
 
