@@ -22,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import textops as X
 from .automaton import SuffixAutomaton
+from .graph import broadcast_if
 
-#: Item words in one automaton (some 600 bytes each in a worker). More items are dealt to several, scanned one after another.
+#: Item words in one automaton (some 600 bytes each in a worker). More items are dealt to several.
 SHARD_WORDS = 250_000
 
 SPANS = "array<struct<first:int,last:int>>"
@@ -124,12 +124,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(text: bytes, spans) -> bytes:
+def _cut(text: bytes, spans, starts, ends) -> bytes:
     """The text without the spans' words and what lies between them."""
     out, at = [], 0
-    for _, _, start, end in spans:
-        out.append(text[at:start])
-        at = end
+    for first, last in spans:
+        out.append(text[at : int(starts[first])])
+        at = int(ends[last])
     return b"".join([*out, text[at:]])
 
 
@@ -137,40 +137,35 @@ _matchers: dict[str, Matcher] = {}
 
 
 def _matcher(key: str, items, window: int) -> Matcher:
-    """One automaton for each Python worker, made when first needed."""
+    """One automaton for each Python worker, made of the broadcast items when first needed."""
     if key not in _matchers:
         _matchers.clear()
-        _matchers[key] = Matcher(items, window)
+        _matchers[key] = Matcher(items.value, window)
     return _matchers[key]
 
 
-def item_shards(items: DataFrame, id_col: str, text_col: str, shard_words: int) -> list[list[tuple[str, list[bytes]]]]:
-    """The items' folded words in lists of about shard_words, each fetched when it is its turn."""
+def item_shards(items: DataFrame, id_col: str, text_col: str, shard_words: int) -> list[tuple[str, object]]:
+    """(key, broadcast list of (item id, folded words)) of shards of about shard_words words.
+
+    A shard is fetched, broadcast and let go before the next, so the driver holds
+    one at a time, of a bounded size.
+    """
     sized = items.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
     total = sized.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     n = max(1, math.ceil(total / 2 / shard_words))  # a word and its separator take two characters at least
-    table = X.FOLDED.tobytes()
-
-    def shard(k: int):
+    table, out = X.FOLDED.tobytes(), []
+    for k in range(n):
         part = sized if n == 1 else sized.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        return [(r["item"], r["text"].encode().translate(table).replace(b"\0", b" ").split()) for r in part.toLocalIterator()]
-
-    return [shard(k) for k in range(n)] if n == 1 else _Lazy(shard, n)
-
-
-class _Lazy:
-    def __init__(self, make, n):
-        self.make, self.n = make, n
+        words = [(r["item"], r["text"].encode().translate(table).replace(b"\0", b" ").split()) for r in part.toLocalIterator()]
+        out.append((hashlib.sha256(repr(words).encode()).hexdigest(), items.sparkSession.sparkContext.broadcast(words)))
+    return out
 
-    def __len__(self):
-        return self.n
 
-    def __iter__(self):
-        return (self.make(k) for k in range(self.n))
+_SPAN = pa.struct([("first", pa.int32()), ("last", pa.int32())])
 
 
-def _scan_one(docs: DataFrame, keep: list[str], text_col: str, items, window: int) -> DataFrame:
-    key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
+def _scan_one(docs: DataFrame, keep: list[str], text_col: str, shard, window: int) -> DataFrame:
+    (key, items), at = shard, len(keep)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"n_words long, spans {SPANS}, items array<string>"])
 
     def run(batches):
@@ -178,40 +173,50 @@ def _scan_one(docs: DataFrame, keep: list[str], text_col: str, items, window: in
             if not b.num_rows:
                 continue
             n, spans, got = [], [], []
-            for words, s, i, _, _ in _matcher(key, items, window).texts(b.column(b.schema.get_field_index(text_col))):
+            for words, s, i, _, _ in _matcher(f"{key} {window}", items, window).texts(b.column(at)):
                 n.append(words)
                 spans.append([{"first": x, "last": y} for x, y in s])
                 got.append(i)
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(got, pa.list_(pa.string()))],
-                names=[*keep, "n_words", "spans", "items"],
-            )
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(n, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(got, pa.list_(pa.string()))], names=[*keep, "n_words", "spans", "items"])
 
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("_scanned")).mapInArrow(run, schema)
+
+
+def _hits(docs: DataFrame, text_col: str, shards, window: int) -> DataFrame:
+    """(k, hits) of the texts that the shards hit: the md5 of the text, and of each shard its spans and items; a pass over the texts for each shard."""
+    keyed = docs.where(F.col(text_col).isNotNull()).select(F.md5(F.col(text_col).cast("binary")).alias("k"), F.col(text_col).alias("text"))
+    parts = [_scan_one(keyed, ["k"], "text", shard, window).where("size(spans) > 0").select("k", F.struct("spans", "items").alias("hit")) for shard in shards]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return X.checkpointed(out.groupBy("k").agg(F.collect_set("hit").alias("hits")))  # copies of a text give equal hits
 
 
 def scan(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per document: id, n_words, merged spans of hit words (from 0, both ends included), sorted item ids.
 
     One map over the documents without a shuffle, where the items fit one
-    automaton. With more, each shard of items is a map of its own, and the hits
-    (few rows) are merged by document.
+    automaton. With more, each shard of items is a pass of its own over the
+    texts, and the hits are merged by text.
     """
     X.prepare(docs.sparkSession)
-    shards = item_shards(items, item_id, item_text, shard_words)
-    if len(shards) == 1:
-        return _scan_one(docs, [id_col], text_col, next(iter(shards)), window)
-    keyed = docs.select(id_col, text_col, F.xxhash64(text_col).alias("_h"))
-    out = None
-    for items_k in shards:
-        part = _scan_one(keyed, [id_col, "_h"], text_col, items_k, window)
-        out = part if out is None else out.unionByName(part)
-    n = len(shards)
-    spans = F.udf(lambda s: [{"first": a, "last": b} for a, b in merged([(x["first"], x["last"]) for x in s])], SPANS)
-    both = out.groupBy(id_col, "_h").agg(
-        F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / n).cast("int").alias("_times")
-    )  # a row for each document and shard
-    return both.withColumn("_", F.explode(F.sequence(F.lit(1), "_times"))).select(id_col, "n_words", spans("spans").alias("spans"), "items")
+    first, *more = item_shards(items, item_id, item_text, shard_words)
+    if not more:
+        return _scan_one(docs, [id_col], text_col, first, window)
+    keyed = docs.select(F.col(id_col), F.col(text_col), F.md5(F.col(text_col).cast("binary")).alias("_k"))
+    base = _scan_one(keyed, [id_col, "_k"], text_col, first, window)
+    both = base.join(broadcast_if(_hits(docs, text_col, more, window)), F.col("_k") == F.col("k"), "left")
+
+    def merge(batches):
+        for b in batches:
+            spans, got = [], []
+            for s, i, hits in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                hits = [{"spans": s, "items": i}, *(hits or ())]
+                spans.append([{"first": x, "last": y} for x, y in merged([(x["first"], x["last"]) for h in hits for x in h["spans"]])])
+                got.append(sorted({x for h in hits for x in h["items"]}))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.list_(_SPAN)), pa.array(got, pa.list_(pa.string()))], names=[id_col, "n_words", "spans", "items"])
+
+    return both.select(id_col, "n_words", "spans", "items", "hits").mapInArrow(merge, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_words long, spans {SPANS}, items array<string>")
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -226,66 +231,36 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
 
     All columns are kept; n_chars, where there is one, is counted anew for texts
     that changed. With several shards of items the spans of all are found on the
-    input text; the last map merges them by row, cuts and applies max_coverage.
+    input texts; one last map merges them, cuts once and applies max_coverage
+    once, so the result doesn't depend on the shards.
     """
     X.prepare(docs.sparkSession)
-    shards = item_shards(items, item_id, item_text, shard_words)
-    schema, n = docs.schema, len(shards)
-    for k, items_k in enumerate(shards):
-        docs = _remove(docs, schema, text_col, items_k, window, max_coverage) if k + 1 == n else _marked(docs, schema, text_col, items_k, window)
-    return docs
-
-
-#: The spans that earlier shards found, beside the columns of the documents: words and the bytes that they take.
-_HITS, _HIT = "_weftline_hits", pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-
-
-def _hits(batch: pa.RecordBatch, at: int, matcher: Matcher):
-    """For each row: (word count, spans (first, last, start, end) of the earlier shards and of this one, merged)."""
-    earlier = batch.column(_HITS).to_pylist() if _HITS in batch.schema.names else [()] * batch.num_rows
-    for before, (n, spans, _, starts, ends) in zip(earlier, matcher.texts(batch.column(at)), strict=True):
-        hits = [tuple(x.values()) for x in before] + [(a, b, int(starts[a]), int(ends[b])) for a, b in spans]
-        out: list[tuple[int, int, int, int]] = []
-        for a, b, x, y in sorted(hits):
-            if out and a <= out[-1][1] + 1:
-                out[-1] = (out[-1][0], max(b, out[-1][1]), out[-1][2], max(y, out[-1][3]))
-            else:
-                out.append((a, b, x, y))
-        yield n, out
-
-
-def _marked(docs: DataFrame, schema, text_col: str, items, window: int) -> DataFrame:
-    """The documents as they are, with the spans that these items hit added to those of earlier shards."""
-    key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
-    names = schema.names
-    hits = T.ArrayType(T.StructType([T.StructField(f.name, T.IntegerType() if f.type == pa.int32() else T.LongType()) for f in _HIT]))
+    first, *more = item_shards(items, item_id, item_text, shard_words)
+    names, schema, (key, shared) = docs.columns, docs.schema, first
+    at = names.index(text_col)
+    if more:
+        k, hits = X.fresh(docs, "_k", "_hits")
+        found = _hits(docs, text_col, more, window).select(F.col("k").alias(k), F.flatten("hits.spans").alias(hits))
+        docs = docs.withColumn(k, F.md5(F.col(text_col).cast("binary"))).join(broadcast_if(found), k, "left").select(*(F.col(f"`{c}`") for c in [*names, hits]))
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            found = [[dict(zip(("first", "last", "start", "end"), h, strict=True)) for h in spans] for _, spans in _hits(b, names.index(text_col), _matcher(key, items, window))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found, pa.list_(_HIT))], names=[*names, _HITS])
-
-    return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField(_HITS, hits)]))
-
-
-def _remove(docs: DataFrame, schema, text_col: str, items, window: int, max_coverage: float) -> DataFrame:
-    key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
-    names = schema.names
-
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            at = names.index(text_col)
             column, keep, changed = b.column(at), np.ones(b.num_rows, bool), {}
-            for r, (n, spans) in enumerate(_hits(b, at, _matcher(key, items, window))):
-                if spans:
-                    if sum(y - x + 1 for x, y, _, _ in spans) > max_coverage * n:
-                        keep[r] = False
-                    else:
-                        changed[r] = _cut(column[r].as_py().encode(), spans).decode()
+            others = b.column(len(names)).to_pylist() if more else [None] * b.num_rows
+            for r, (n, spans, _, starts, ends) in enumerate(_matcher(f"{key} {window}", shared, window).texts(column)):
+                if others[r]:
+                    spans = merged([*spans, *((x["first"], x["last"]) for x in others[r])])
+                if not spans:
+                    continue
+                if sum(y - x + 1 for x, y in spans) > max_coverage * n:
+                    keep[r] = False
+                    continue
+                text = column[r].as_py().encode()
+                if starts is None:  # hit by other shards only
+                    starts, ends, _ = X.split(np.frombuffer(text, np.uint8), np.array([0, len(text)]), X.FOLDED)
+                changed[r] = _cut(text, spans, starts, ends).decode()
             columns = list(b.columns[: len(names)])
             if changed:
                 columns[at] = pa.array([changed.get(r, v) for r, v in enumerate(column.to_pylist())], column.type)
