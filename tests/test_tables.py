@@ -131,15 +131,90 @@ def test_search_orders_by_score(spark):
     got = table_search.similar(v.where("table_name = 't0'"), v, k=3).collect()
     assert [r["rank"] for r in got] == list(range(1, len(got) + 1)) and all(r["b_table_name"] != "t0" for r in got)
     assert [r["score"] for r in got] == sorted((r["score"] for r in got), reverse=True)
-    pairs = brute_pairs({"t0": t["t0"]}, {k: x for k, x in t.items() if k != "t0"})
-    mapped = brute_greedy(pairs, 0.3)
-    want = {}
+
+
+def brute_parts(t, name, join, prune):
+    """By definition: of each table with mapped columns (mapped, key, key score, row similarity)."""
+    mapped = brute_greedy(brute_pairs({name: t[name]}, {k: x for k, x in t.items() if k != name}), 0.3)
+    out = {}
     for b in {k[2] for k in mapped}:
-        own = [s for k, s in mapped.items() if k[2] == b]
-        want[b] = 0.1 * len(own) / (5 + 5 - len(own)) + 0.9 * max(own)
-    top = sorted(want, key=lambda b: (-want[b], b))[:3]
-    assert [r["b_table_name"] for r in got] == top and [r["score"] for r in got] == pytest.approx([want[b] for b in top])
-    assert table_search.joinable(v.where("table_name = 't0'"), v, k=2).count() <= 2
+        own = {k[1]: (k[3], s) for k, s in mapped.items() if k[2] == b}
+        cols_a, cols_b = t[name][1], t[b][1]
+        rows_a = list(zip(*(cols_a[x][1] for x in own), strict=True))
+        rows_b = list(zip(*(cols_b[own[x][0]][1] for x in own), strict=True))
+        scores = []
+        for i, x in enumerate(own):
+            ka, kb = {r[i] for r in rows_a}, {r[i] for r in rows_b}
+            least, n = min(len(ka) / len(rows_a), len(kb) / len(rows_b)), len(rows_a) + len(rows_b)
+            if join:
+                of = [len({r for r in rows_a + rows_b if r[i] in k}) / n for k in (ka, kb)]
+                s = 1.0 if len(ka) == len(rows_a) or len(kb) == len(rows_b) else 0.0 if least < prune else max(of)
+            else:
+                s = 0.0 if least <= prune else len(set(rows_a + rows_b)) / n
+            scores.append((-s, -own[x][1], x))
+        s, sim, key = min(scores)
+        out[b] = (len(own), key, -s, -sim)
+    return out
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_search_equals_brute_force(spark, seed):
+    t = made(seed, 6)
+    v = long(spark, t)
+    q = v.where("table_name = 't0'")
+    for prune in (0.3, 0.6, 0.9):
+        parts = brute_parts(t, "t0", False, prune)
+        want = {b: 0.1 * (1 + (n - 1) * s) / (10 - n) + 0.9 * sim for b, (n, _, s, sim) in parts.items()}
+        got = table_search.similar(q, v, k=3, prune=prune).collect()
+        top = sorted(want, key=lambda b: (-round(want[b], 12), b))[:3]
+        assert [(r["b_table_name"], r["key"]) for r in got] == [(b, parts[b][1]) for b in top] and [r["score"] for r in got] == pytest.approx([want[b] for b in top])
+        parts = brute_parts(t, "t0", True, prune)
+        want = {b: 0.1 * (1 + 4 * s) / (9 - n) + 0.9 * sim for b, (n, _, s, sim) in parts.items()}
+        got = {r["b_table_name"]: r["score"] for r in table_search.joinable(q, v, k=9, prune=prune).collect()}
+        assert got == pytest.approx(want)
+        assert table_search.one_pair(q, v.where("table_name = 't1'"), prune=prune) == pytest.approx({b: 0.1 * (1 + (n - 1) * s) / (10 - n) + 0.9 * sim for b, (n, _, s, sim) in brute_parts(t, "t0", False, prune).items()}.get("t1", 0.0))
+    far = spark.createDataFrame([(b, float(i)) for i, b in enumerate(t)], "b_table_name string, distance double")
+    distance = {b: float(i) for i, b in enumerate(t)}
+    parts = brute_parts(t, "t0", False, 0.9)
+    want = {b: 90 * (1 + (n - 1) * s) / (10 - n) + 200 * sim + 0.1 * distance[b] for b, (n, _, s, sim) in parts.items()}
+    assert {r["b_table_name"]: r["score"] for r in table_search.by_mode(3, q, v, far).collect()} == pytest.approx(want)
+    want = {b: 0.5 * n / (10 - n) + 0.5 / (distance[b] + 1) for b, (n, *_) in parts.items()}
+    assert {r["b_table_name"]: r["score"] for r in table_search.by_mode(1, q, v, far).collect()} == pytest.approx(want)
+    assert table_search.by_mode(2, q, v).count() == len(parts)
+
+
+def test_key_literal(spark):
+    a, b = long(spark, {"A": (1, {"k": ("int64", ["1", "2"]), "v": ("object", ["x", "y"])})}), long(spark, {"B": (1, {"k": ("int64", ["1", "3"]), "v": ("object", ["x", "z"])})})
+    mapped = spark.createDataFrame([("A", "B", "k", "k"), ("A", "B", "v", "v")], "a_table_name string, b_table_name string, a_col string, b_col string")
+    assert {r["a_col"]: r["score"] for r in keys.pair_keys(a, b, mapped).collect()} == {"k": 0.75, "v": 0.75}
+    twice = b.unionByName(b.withColumn("row_id", F.col("row_id") + 10))
+    both = a.unionByName(a.withColumn("row_id", F.col("row_id") + 10))
+    assert {r["score"] for r in keys.pair_keys(both, twice, mapped, join=True, prune=0.1).collect()} == {0.25}
+    assert {r["score"] for r in keys.pair_keys(both, twice, mapped, join=True, prune=0.6).collect()} == {0.0}
+    assert {r["score"] for r in keys.pair_keys(a, twice, mapped, join=True).collect()} == {1.0}
+
+
+def test_cells_of_a_row_share_its_number(spark):
+    one, two = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(1, "b"), (2, "a")], "k int, v string")
+    v = columns.long_form(one, "one", 1).unionByName(columns.long_form(two, "two", 1)).unionByName(columns.long_form(one.orderBy(F.desc("k")), "again", 1))
+    assert v.groupBy("table_name", "row_id").count().where("count != 2").isEmpty()
+    ids = {r["table_name"]: r["same_as"] for r in profile.content_ids(v).collect()}
+    assert ids == {"one": "again", "again": "again", "two": "two"}
+
+
+def test_extend_mapping_through_schema_elements(spark):
+    a = long(spark, {"q": (0, {"x": ("int64", ["1", "2"]), "y": ("object", ["u"]), "z": ("object", ["p", "q"])})})
+    b = long(spark, {"t": (1, {"k": ("int64", ["8", "9"]), "m": ("object", ["u"]), "o": ("object", ["p", "q"])}), "s": (1, {"k": ("int64", ["1", "2"]), "w": ("float64", ["1"])})})
+    to_group = spark.createDataFrame([("q", 1, "x", "k"), ("q", 1, "y", "w")], "a_table_name string, group_id int, a_col string, group_col string")
+    known = spark.createDataFrame([("q", "t", "z", "o", 1.0)], "a_table_name string, b_table_name string, a_col string, b_col string, sim double")
+    got = {(r["b_table_name"], r["a_col"], r["b_col"], r["sim"]) for r in mapping.extend_mapping(known, a, b, to_group=to_group, index=profile.schema_index(b)).collect()}
+    assert got == {("t", "z", "o", 1.0), ("t", "x", "k", 0.0), ("t", "y", "m", 1.0), ("s", "x", "k", 1.0)}
+
+
+def test_matching_groups_ignores_dtypes(spark):
+    q = long(spark, {"q": (0, {"x": ("object", ["1", "2"])})})
+    s = profile.schema_values(long(spark, {"t": (7, {"k": ("int64", ["1", "2"])})}))
+    assert [(r["b_group_id"], r["best"]) for r in mapping.matching_groups(q, s).collect()] == [(7, 1.0)]
 
 
 def test_star_distance_literal(spark):

@@ -152,3 +152,16 @@ def register(spark) -> None:
     spark.udtf.register("code_assignments", Assignments)
     spark.udtf.register("code_flow", FlowEdges)
     spark.udtf.register("code_variables", Variables)
+
+
+def table_function(frame, function: str, argument: str, keep: list[str]):
+    """frame's keep columns with the rows that a registered table function gives for its argument column; the view's name is its own."""
+    import uuid
+
+    register(frame.sparkSession)
+    view = f"_weftline_{uuid.uuid4().hex}"
+    frame.createOrReplaceTempView(view)
+    try:
+        return frame.sparkSession.sql(f"SELECT {', '.join(f't.`{c}`' for c in keep)}, f.* FROM {view} t, LATERAL {function}(t.`{argument}`) f")
+    finally:
+        frame.sparkSession.catalog.dropTempView(view)

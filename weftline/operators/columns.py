@@ -25,7 +25,9 @@ def long_form(df: DataFrame, table_name: str, group_id: int, *, skip_index: bool
             continue
         dtype = kinds.get(kind, "datetime64" if kind.startswith(("timestamp", "date")) else kind)
         cols.append(F.struct(F.lit(name).alias("col"), F.lit(pos).alias("col_pos"), F.lit(dtype).alias("dtype"), F.col(f"`{name}`").cast("string").alias("value")))
-    return df.select(F.explode(F.array(*cols)).alias("x"), F.monotonically_increasing_id().alias("row_id")).select(F.lit(table_name).alias("table_name"), F.lit(group_id).alias("group_id"), "x.col", "x.col_pos", "x.dtype", "row_id", "x.value")
+    # the row's number is made below the explode, so that the cells of a row share it
+    rows = df.select(F.array(*cols).alias("x"), F.monotonically_increasing_id().alias("row_id")).select(F.explode("x").alias("x"), "row_id")
+    return rows.select(F.lit(table_name).alias("table_name"), F.lit(group_id).alias("group_id"), "x.col", "x.col_pos", "x.dtype", "row_id", "x.value")
 
 
 def present(values: DataFrame) -> DataFrame:

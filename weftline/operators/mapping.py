@@ -19,12 +19,39 @@ def map_tables(a: DataFrame, b: DataFrame, *, a_key: str = "table_name", b_key:
     return greedy(column_pairs(a, b, a_key=a_key, b_key=b_key), [f"a_{a_key}", f"b_{b_key}"], "a_col", "b_col", "sim", least=least)
 
 
-def extend_mapping(known: DataFrame, a: DataFrame, b: DataFrame, *, least: float = THRESHOLD) -> DataFrame:
-    """A partial mapping (a_table_name, b_table_name, a_col, b_col, sim) with what the columns that it leaves free map to."""
+def linked_pairs(a: DataFrame, b: DataFrame, to_group: DataFrame, index: DataFrame) -> DataFrame:
+    """Column pairs that meet in a schema element: a's column is mapped to a column of b's group, b's column is the same element, and both are of one dtype.
+
+    to_group: (a_table_name, group_id, a_col, group_col); index: group_id, col and
+    sid of the groups' columns. Of several columns of a that are one element the
+    last counts.
+    """
+    kinds_a = a.select(F.col("table_name").alias("a_table_name"), F.col("col").alias("a_col"), "col_pos", F.col("dtype").alias("a_dtype")).distinct()
+    kinds_b = b.select(F.col("table_name").alias("b_table_name"), "group_id", F.col("col").alias("b_col"), F.col("dtype").alias("b_dtype")).distinct()
+    sids = index.select("group_id", "col", "sid")
+    left = to_group.join(sids.withColumnRenamed("col", "group_col"), ["group_id", "group_col"]).join(kinds_a, ["a_table_name", "a_col"])
+    left = left.groupBy("a_table_name", "group_id", "sid").agg(F.max(F.struct("col_pos", "a_col", "a_dtype")).alias("x"))
+    right = kinds_b.join(sids.withColumnRenamed("col", "b_col"), ["group_id", "b_col"])
+    return left.join(right, ["group_id", "sid"]).where("x.a_dtype = b_dtype").select("a_table_name", "b_table_name", F.col("x.a_col").alias("a_col"), "b_col")
+
+
+def extend_mapping(known: DataFrame, a: DataFrame, b: DataFrame, *, to_group: DataFrame | None = None, index: DataFrame | None = None, least: float = THRESHOLD) -> DataFrame:
+    """A partial mapping (a_table_name, b_table_name, a_col, b_col, sim) with what the columns that it leaves free map to.
+
+    First through schema elements (linked_pairs(), where to_group and index are
+    given), whatever their similarity, then by similarity of least or more.
+    """
     pairs = column_pairs(a, b)
     on = ["a_table_name", "b_table_name"]
-    free = pairs.join(known.select(*on, "a_col"), [*on, "a_col"], "left_anti").join(known.select(*on, "b_col"), [*on, "b_col"], "left_anti")
-    return known.select(*on, "a_col", "b_col", "sim").unionByName(greedy(free, on, "a_col", "b_col", "sim", least=least))
+    known = known.select(*on, "a_col", "b_col", "sim")
+
+    def free(x):
+        return x.join(known.select(*on, "a_col"), [*on, "a_col"], "left_anti").join(known.select(*on, "b_col"), [*on, "b_col"], "left_anti")
+
+    if to_group is not None and index is not None:
+        linked = free(linked_pairs(a, b, to_group, index)).join(pairs.select(*on, "a_col", "b_col", "sim"), [*on, "a_col", "b_col"], "left").fillna(0.0, ["sim"])
+        known = known.unionByName(greedy(linked, on, "a_col", "b_col", "sim"))
+    return known.unionByName(greedy(free(pairs), on, "a_col", "b_col", "sim", least=least))
 
 
 def mapping_by_schema(a: DataFrame, b: DataFrame, index: DataFrame) -> DataFrame:
@@ -38,7 +65,8 @@ def mapping_by_schema(a: DataFrame, b: DataFrame, index: DataFrame) -> DataFrame
 
 
 def matching_groups(a: DataFrame, schema: DataFrame, *, least: float = THRESHOLD) -> DataFrame:
-    """(a_table_name, b_group_id, best): groups with a column similar enough to one of the table's."""
+    """(a_table_name, b_group_id, best): groups with a column similar enough to one of the table's, whatever the columns' dtypes."""
+    a, schema = (x.withColumn("dtype", F.lit("any")) for x in (a, schema))
     return column_pairs(a, schema, b_key="group_id").groupBy("a_table_name", "b_group_id").agg(F.max("sim").alias("best")).where(F.col("best") >= least)
 
 

@@ -31,8 +31,12 @@ def sketch_values(values: DataFrame, keys: list[str], size: int = SKETCH_VALUES)
 
 def schema_index(values: DataFrame) -> DataFrame:
     """(group_id, col, sid, dtype, n_tables, n_distinct) of the columns of each group of tables; sid numbers columns by first position and name."""
-    own = values.groupBy("group_id", "col").agg(F.min_by("dtype", F.struct("table_name", "col_pos")).alias("dtype"), F.count_distinct("table_name").alias("n_tables"), F.count_distinct(F.when(F.col("value").isNotNull(), F.col("value"))).alias("n_distinct"), F.min(F.struct("table_name", "col_pos")).alias("first"))
-    return own.withColumn("sid", F.row_number().over(Window.partitionBy("group_id").orderBy("first", "col"))).drop("first")
+    # each different value once, combined before the shuffle; tables are counted in a pass of their own that reads no value
+    once = values.groupBy("group_id", "col", "value").agg(F.min(F.struct("table_name", "col_pos", "dtype")).alias("first"))
+    own = once.groupBy("group_id", "col").agg(F.count("value").alias("n_distinct"), F.min("first").alias("first"))
+    tables = values.groupBy("group_id", "col", "table_name").agg(F.count("*")).groupBy("group_id", "col").agg(F.count("*").alias("n_tables"))
+    both = own.join(tables, ["group_id", "col"]).withColumn("sid", F.row_number().over(Window.partitionBy("group_id").orderBy("first.table_name", "first.col_pos", "col")))
+    return both.select("group_id", "col", F.col("first.dtype").alias("dtype"), "n_tables", "n_distinct", "sid")
 
 
 def schema_values(values: DataFrame) -> DataFrame:

@@ -119,6 +119,24 @@ def long_sql(names=tuple(TPC)) -> str:
     return " UNION ALL ".join(parts)
 
 
+def cells_sql(names=tuple(TPC)) -> str:
+    """cell_values with row ids, as a union."""
+    parts = []
+    for t in names:
+        for c in TPC[t]:
+            parts.append(f"SELECT '{t}' AS table_name, '{c}' AS col, _r AS row_id, {c}::VARCHAR AS value FROM (SELECT *, row_number() OVER () AS _r FROM {t})")
+    return " UNION ALL ".join(parts)
+
+
+def greedy_sql(name: str, pairs: str, least: float | None = None) -> str:
+    """CTEs for name: the greedy one-to-one matching, within each (ga, gb), of pairs' (ga, gb, l, r, s); needs WITH RECURSIVE."""
+    where = "" if least is None else f" WHERE s >= {least}"
+    return f"""{name}_r AS (SELECT ga, gb, l, r, s, row_number() OVER (PARTITION BY ga, gb ORDER BY s DESC, l, r) AS i FROM {pairs}{where}),
+{name}_g AS (SELECT DISTINCT ga, gb, 0::BIGINT AS i, []::VARCHAR[] AS ls, []::VARCHAR[] AS rs, NULL::VARCHAR AS l, NULL::VARCHAR AS r, NULL::DOUBLE AS s FROM {name}_r
+UNION ALL SELECT ga, gb, i, CASE WHEN free THEN list_append(ls, l) ELSE ls END, CASE WHEN free THEN list_append(rs, r) ELSE rs END, CASE WHEN free THEN l END, r, s FROM (SELECT x.ga, x.gb, x.i, g.ls, g.rs, x.l, x.r, x.s::DOUBLE AS s, NOT list_contains(g.ls, x.l) AND NOT list_contains(g.rs, x.r) AS free FROM {name}_g g JOIN {name}_r x ON x.ga = g.ga AND x.gb = g.gb AND x.i = g.i + 1)),
+{name} AS (SELECT ga, gb, l, r, s FROM {name}_g WHERE l IS NOT NULL)"""
+
+
 # ---- code and text similarity ----------------------------------------------
 
 
@@ -268,12 +286,14 @@ def reach_closure(spark, d):
 
 
 @q(
-    """WITH RECURSIVE e AS (SELECT DISTINCT 'all' AS nb, 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation), u AS (SELECT nb, a, b FROM e UNION SELECT nb, b, a FROM e),
+    """WITH RECURSIVE e AS (SELECT DISTINCT 'all' AS nb, 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION SELECT 'all', 's' || s_suppkey, 'n' || s_nationkey FROM supplier), u AS (SELECT nb, a, b FROM e UNION SELECT nb, b, a FROM e),
 r AS (SELECT nb, a, a AS b FROM u UNION SELECT r.nb, r.a, u.b FROM r JOIN u ON u.nb = r.nb AND u.a = r.b) SELECT nb AS nb_name, a AS node, min(b) AS component FROM r GROUP BY ALL"""
 )
 def graph_components(spark, d):
-    n = table(spark, d, "nation")
-    return reach.components(n.select(F.lit("all").alias("nb_name"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("src"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("dst")))
+    """Suppliers, nations and regions."""
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    n = table(spark, d, "nation").select(F.lit("all").alias("nb_name"), name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst"))
+    return reach.components(n.unionByName(table(spark, d, "supplier").select(F.lit("all").alias("nb_name"), name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst"))))
 
 
 def _scored(spark, d, config):
@@ -401,12 +421,21 @@ def _cell_pairs(spark, d):
     return p.select("nb_name", "x.q", "d", text.token_jaccard(F.col("x.t"), F.col("cell_code")).alias("sim"))
 
 
-@q()
+CELL_SIMS = f"p AS ({' UNION ALL '.join(f'''SELECT nb, 'q{i}' AS q, node AS d, {jaccard_sql(tokens_sql(quoted(t)), 'toks')} AS sim FROM (SELECT nb, node, {tokens_sql('text')} AS toks FROM n WHERE label = 'Cell')''' for i, t in enumerate(CHAIN_T))})"
+
+
+@q(f"WITH RECURSIVE {N}, {CELL_SIMS}, p0 AS (SELECT nb AS ga, '' AS gb, q AS l, d AS r, sim AS s FROM p), {greedy_sql('m', 'p0')} SELECT ga AS nb_name, round(sum(s), 6) AS code_sim FROM m GROUP BY ga")
 def greedy_cell_matching(spark, d):
     return setbased.greedy_cells(_cell_pairs(spark, d)).select("nb_name", F.round("code_sim", 6).alias("code_sim"))
 
 
-CELL_SIMS = f"p AS ({' UNION ALL '.join(f'''SELECT nb, 'q{i}' AS q, node AS d, {jaccard_sql(tokens_sql(quoted(t)), 'toks')} AS sim FROM (SELECT nb, node, {tokens_sql('text')} AS toks FROM n WHERE label = 'Cell')''' for i, t in enumerate(CHAIN_T))})"
+@q()
+def best_cell_alignment(spark, d):
+    """Query cells against each notebook's cells by suffix alignment of their texts, the mean of the best."""
+    cells = conv_nodes(spark, d).where(F.col("node_type") == CELL)
+    asked = F.explode(F.array(*(F.struct(F.lit(f"q{i}").alias("q"), F.lit(t).alias("t")) for i, t in enumerate(CHAIN_T))))
+    p = cells.select("nb_name", F.col("node").alias("d"), "cell_code", asked.alias("x")).select("nb_name", "x.q", "d", align.suffix_similarity("x.t", "cell_code").alias("sim"))
+    return setbased.best_cells(p, 3).select("nb_name", F.round("code_sim", 6).alias("code_sim"))
 
 
 @q(f"WITH {N}, {CELL_SIMS} SELECT nb AS nb_name, round(sum(sim) / 3, 6) AS code_sim FROM (SELECT nb, q, max(sim) AS sim FROM p GROUP BY ALL) GROUP BY nb")
@@ -474,27 +503,49 @@ def advisory_join_keys(spark, d):
     return keys.join_keys(mapping.column_pairs(v, v).where("a_table_name < b_table_name"))
 
 
-@q()
+#: Similarities of all column pairs of all tables, as (ga, gb, l, r, s).
+ALL_PAIRS = _pairs_sql(tuple(TPC), tuple(TPC)).replace("WITH a AS", "WITH RECURSIVE a AS", 1) + ", p0 AS (SELECT ta AS ga, tb AS gb, ca AS l, cb AS r, inter::DOUBLE / (n_a + n_b - inter) AS s FROM s WHERE ta <> tb)"
+
+
+@q(f"{ALL_PAIRS}, {greedy_sql('m', 'p0', 0.3)} SELECT ga AS a_table_name, gb AS b_table_name, l AS a_col, r AS b_col, s AS sim FROM m")
 def schema_mapping(spark, d):
-    return mapping.map_tables(values(spark, d, DIMENSIONS), values(spark, d, DIMENSIONS)).where("a_table_name != b_table_name")
+    v = values(spark, d)
+    return mapping.map_tables(v, v).where("a_table_name != b_table_name")
 
 
-@q()
+STEM = "regexp_replace(col, '^[a-z]+_', '')"
+
+
+@q(
+    f"""{ALL_PAIRS}, c AS (SELECT DISTINCT table_name, col, dtype, {STEM} AS stem FROM ({long_sql()})),
+k AS (SELECT x.table_name AS ga, y.table_name AS gb, x.col AS l, y.col AS r, coalesce(p0.s, 0.0) AS s FROM c x JOIN c y ON x.stem = y.stem AND x.dtype = y.dtype AND x.table_name <> y.table_name LEFT JOIN p0 ON p0.ga = x.table_name AND p0.gb = y.table_name AND p0.l = x.col AND p0.r = y.col),
+f AS (SELECT * FROM p0 WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.ga = p0.ga AND k.gb = p0.gb AND (k.l = p0.l OR k.r = p0.r))), {greedy_sql('m', 'f', 0.3)}
+SELECT ga AS a_table_name, gb AS b_table_name, l AS a_col, r AS b_col, s AS sim FROM k UNION ALL SELECT ga, gb, l, r, s FROM m"""
+)
 def schema_mapping_extended(spark, d):
-    a, b = values(spark, d, ("nation",)), values(spark, d, ("supplier", "customer"))
-    whole = mapping.map_tables(a, b)
-    return mapping.extend_mapping(whole.limit(0), a, b)
+    """Columns of one name (without prefix) and dtype are known pairs; the others are mapped by their values."""
+    v = values(spark, d)
+    names = v.select("table_name", "col", "dtype").distinct().withColumn("stem", F.regexp_replace("col", "^[a-z]+_", ""))
+    left, right = (names.select(F.col("table_name").alias(f"{s}_table_name"), F.col("col").alias(f"{s}_col"), "dtype", "stem") for s in "ab")
+    known = left.join(right, ["dtype", "stem"]).where("a_table_name != b_table_name").drop("dtype", "stem")
+    known = known.join(mapping.column_pairs(v, v).select("a_table_name", "b_table_name", "a_col", "b_col", "sim"), ["a_table_name", "b_table_name", "a_col", "b_col"], "left").fillna(0.0, ["sim"])
+    return mapping.extend_mapping(known, v, v).where("a_table_name != b_table_name")
 
 
-@q()
+@q(
+    f"""WITH v AS ({long_sql()}), a AS (SELECT DISTINCT table_name, col, value FROM v WHERE value IS NOT NULL), g AS (SELECT DISTINCT group_id, col, value FROM v WHERE value IS NOT NULL),
+na AS (SELECT table_name, col, count(*) AS n FROM a GROUP BY ALL), ng AS (SELECT group_id, col, count(*) AS n FROM g GROUP BY ALL), p AS (SELECT a.table_name, a.col AS ca, g.group_id, g.col AS cg, count(*) AS inter FROM a JOIN g ON a.value = g.value GROUP BY ALL)
+SELECT p.table_name AS a_table_name, p.group_id AS b_group_id, max(inter::DOUBLE / (na.n + ng.n - inter)) AS best FROM p JOIN na ON na.table_name = p.table_name AND na.col = ca JOIN ng ON ng.group_id = p.group_id AND ng.col = cg GROUP BY ALL HAVING max(inter::DOUBLE / (na.n + ng.n - inter)) >= 0.3"""
+)
 def matching_groups(spark, d):
-    return mapping.matching_groups(values(spark, d, ("supplier",)), profile.schema_values(values(spark, d)))
+    v = values(spark, d)
+    return mapping.matching_groups(v, profile.schema_values(v))
 
 
-@q()
+@q(f"{ALL_PAIRS}, {greedy_sql('m', 'p0')}, w AS (SELECT table_name, count(DISTINCT col) AS n FROM ({long_sql()}) GROUP BY ALL) SELECT ga AS a_table_name, gb AS b_table_name, count(*) AS n_mapped, round(sum(s) / greatest(any_value(x.n), any_value(y.n)), 6) AS sim FROM m JOIN w x ON x.table_name = ga JOIN w y ON y.table_name = gb GROUP BY ALL")
 def table_similarity(spark, d):
-    v = values(spark, d, DIMENSIONS)
-    return tables.table_similarity(v, v).select("a_table_name", "b_table_name", "n_mapped", F.round("sim", 6).alias("sim"))
+    v = values(spark, d)
+    return tables.table_similarity(v, v).where("a_table_name != b_table_name").select("a_table_name", "b_table_name", "n_mapped", F.round("sim", 6).alias("sim"))
 
 
 @q(
@@ -546,39 +597,79 @@ def row_string_similarity(spark, d):
     return got.select(F.round("sim", 6).alias("sim"), "n_keys")
 
 
-@q()
+def parts_sql(join: bool, prune: float, names=tuple(TPC)) -> str:
+    """CTEs up to `best`: of supplier and each other table that it maps to the key, its score and the similarity of its values."""
+    pairs = ALL_PAIRS.replace("FROM s WHERE ta <> tb)", "FROM s WHERE ta <> tb AND ta = 'supplier')")
+    score = "CASE WHEN va = ra OR vb = rb THEN 1.0 WHEN least(va::DOUBLE / ra, vb::DOUBLE / rb) < {0} THEN 0.0 ELSE greatest(oa, ob)::DOUBLE / (ra + rb) END" if join else "CASE WHEN least(va::DOUBLE / ra, vb::DOUBLE / rb) <= {0} THEN 0.0 ELSE different::DOUBLE / (ra + rb) END"
+    return f"""{pairs}, {greedy_sql('m', 'p0', 0.3)}, cells AS ({cells_sql()}),
+mc AS (SELECT ga, gb, 'a' AS side, row_id, l AS a_col, value FROM cells JOIN m ON table_name = ga AND col = l UNION ALL SELECT ga, gb, 'b', row_id, l, value FROM cells JOIN m ON table_name = gb AND col = r),
+rows_ AS (SELECT ga, gb, side, list(struct_pack(a_col := a_col, value := value) ORDER BY a_col) AS r FROM mc GROUP BY ga, gb, side, row_id),
+df AS (SELECT ga, gb, r, count(*) FILTER (side = 'a') AS in_a, count(*) FILTER (side = 'b') AS in_b FROM rows_ GROUP BY ga, gb, r),
+tot AS (SELECT ga, gb, count(*) AS different, sum(in_a) AS ra, sum(in_b) AS rb FROM df GROUP BY ga, gb), x AS (SELECT ga, gb, in_a, in_b, unnest(r) AS x FROM df),
+bv AS (SELECT ga, gb, x.a_col AS a_col, x.value AS value, count(*) AS n, sum(in_a) AS in_a, sum(in_b) AS in_b FROM x GROUP BY ALL),
+ok AS (SELECT ga, gb, a_col, count(*) FILTER (in_a > 0) AS va, count(*) FILTER (in_b > 0) AS vb, sum(CASE WHEN in_a > 0 THEN n ELSE 0 END) AS oa, sum(CASE WHEN in_b > 0 THEN n ELSE 0 END) AS ob FROM bv GROUP BY ALL),
+ks AS (SELECT ok.ga, ok.gb, a_col, {score.format(prune)} AS score, m.s AS sim, ra, rb FROM ok JOIN tot ON tot.ga = ok.ga AND tot.gb = ok.gb JOIN m ON m.ga = ok.ga AND m.gb = ok.gb AND m.l = a_col),
+kr AS (SELECT *, row_number() OVER (PARTITION BY ga, gb ORDER BY score DESC, sim DESC, a_col) AS k FROM ks), nm AS (SELECT ga, gb, count(*) AS n_mapped FROM m GROUP BY ga, gb),
+w AS (SELECT table_name, count(DISTINCT col) AS n FROM cells GROUP BY ALL),
+best AS (SELECT kr.ga AS a_table_name, kr.gb AS b_table_name, n_mapped, a_col AS key, score AS key_score, sim AS row_sim, ra, rb, wa.n AS an, wb.n AS bn FROM kr JOIN nm ON nm.ga = kr.ga AND nm.gb = kr.gb JOIN w wa ON wa.table_name = kr.ga JOIN w wb ON wb.table_name = kr.gb WHERE k = 1)"""
+
+
+COL_SCORE = "(1.0 + (n_mapped - 1) * key_score) / (bn + (an - n_mapped))"
+
+
+def ranked_sql(score: str, columns: str, source: str = "best") -> str:
+    return f"SELECT a_table_name, b_table_name, {columns}, round(score, 6) AS score, row_number() OVER (PARTITION BY a_table_name ORDER BY score DESC, b_table_name) AS rank FROM (SELECT *, {score} AS score FROM {source}) QUALIFY rank <= 10"
+
+
+def _hits(found, *more):
+    return found.select("a_table_name", "b_table_name", *more, F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@q(f"{parts_sql(False, 0.9)} {ranked_sql(f'0.1 * {COL_SCORE} + 0.9 * row_sim', 'n_mapped, key')}")
 def search_similar_topk(spark, d):
-    return table_search.similar(values(spark, d, ("supplier",)), values(spark, d)).select("a_table_name", "b_table_name", "n_mapped", F.round("score", 6).alias("score"), "rank")
+    return _hits(table_search.similar(values(spark, d, ("supplier",)), values(spark, d)), "n_mapped", "key")
 
 
-@q()
+@q(f"{parts_sql(True, 0.2)} {ranked_sql('0.1 * ((1.0 + (greatest(an, bn) - 1) * key_score) / greatest(bn + an - n_mapped - 1, 1)) + 0.9 * row_sim', 'n_mapped, key')}")
 def search_joinable_topk(spark, d):
-    return table_search.joinable(values(spark, d, ("supplier",)), values(spark, d)).select("a_table_name", "b_table_name", "n_mapped", F.round("score", 6).alias("score"), "rank")
+    return _hits(table_search.joinable(values(spark, d, ("supplier",)), values(spark, d)), "n_mapped", "key")
+
+
+@q(f"{parts_sql(False, 0.9)} {ranked_sql('0.1 * ((1.0 + (greatest(an, bn) - 1) * key_score) / greatest(bn + an - n_mapped, 1)) + 0.9 * row_sim', 'n_mapped, key')}")
+def table_joinability(spark, d):
+    """Joinability by the common key, of supplier and every table that it maps to."""
+    parts = table_search.pair_scores(values(spark, d, ("supplier",)), values(spark, d))
+    return _hits(score.top_k_per(table_search.joinability(parts, less=0), ["a_table_name"], 10, [F.desc("score"), F.asc("b_table_name")]), "n_mapped", "key")
+
+
+def _kind_stars(spark, d):
+    """One star a table, with the columns' dtypes for labels: a stand-in for the code that made it."""
+    v = values(spark, d).select("table_name", "col", "dtype").distinct()
+    return v.select(F.col("table_name").alias("graph_id"), F.lit("x").alias("node"), F.col("dtype").alias("label"))
 
 
 def _distances(spark, d):
-    """A provenance distance of each table, from made-up code that reads it."""
-    code = spark.createDataFrame([(t, f"a = load('{t}')\nb = a.merge(a)\n" + "".join(f"c{i} = b[{i}]\n" for i in range(len(TPC[t])))) for t in TPC], "t string, code string")
-    s = provenance.stars(provenance.flow_graphs(code, id_col="t", code_col="code"))
-    return provenance.mapping_distance(s.where("graph_id = 'supplier'"), s).select(F.col("b_id").alias("b_table_name"), "distance")
+    s = _kind_stars(spark, d)
+    return provenance.mapping_distance(s.where("graph_id = 'supplier'"), s).select(F.col("b_id").alias("b_table_name"), F.col("distance").cast("double").alias("distance"))
 
 
-@q()
+DISTANCES = f"""kc AS (SELECT table_name, dtype, count(DISTINCT col) AS n FROM ({long_sql()}) GROUP BY ALL), kt AS (SELECT table_name, sum(n) AS n FROM kc GROUP BY ALL), kj AS (SELECT b.table_name, sum(least(a.n, b.n)) AS same FROM kc a JOIN kc b ON a.dtype = b.dtype WHERE a.table_name = 'supplier' GROUP BY ALL),
+dist AS (SELECT b.table_name, (abs(a.n - b.n) + greatest(a.n, b.n) - coalesce(same, 0))::DOUBLE AS distance FROM kt b JOIN kt a ON a.table_name = 'supplier' LEFT JOIN kj ON kj.table_name = b.table_name)"""
+
+
+@q(f"{parts_sql(False, 0.9)}, {DISTANCES}, far AS (SELECT best.*, distance FROM best JOIN dist ON dist.table_name = b_table_name) {ranked_sql('0.5 * ((1.0 + (n_mapped - 1)) / (bn + (an - n_mapped))) + 0.5 / (distance + 1)', 'n_mapped', 'far').replace('n_mapped, round', 'round')}")
 def search_additional_training(spark, d):
-    got = table_search.additional_training(values(spark, d, ("supplier",)), values(spark, d), _distances(spark, d))
-    return got.select("a_table_name", "b_table_name", F.round("score", 6).alias("score"), "rank")
+    return _hits(table_search.additional_training(values(spark, d, ("supplier",)), values(spark, d), _distances(spark, d)))
 
 
-@q()
+@q(f"{parts_sql(False, 0.9)}, {DISTANCES}, far AS (SELECT best.*, distance FROM best JOIN dist ON dist.table_name = b_table_name) {ranked_sql(f'90.0 * {COL_SCORE} + 200.0 * row_sim / (abs(ra - rb) + 1) + 0.1 * distance', 'key', 'far')}")
 def search_alternative_features(spark, d):
-    got = table_search.alternative_features(values(spark, d, ("supplier",)), values(spark, d), _distances(spark, d))
-    return got.select("a_table_name", "b_table_name", F.round("score", 6).alias("score"), "rank")
+    return _hits(table_search.alternative_features(values(spark, d, ("supplier",)), values(spark, d), _distances(spark, d)), "key")
 
 
-@q("WITH e AS (SELECT count(*) AS n FROM (SELECT r_regionkey, r_name FROM region WHERE r_regionkey < 3 EXCEPT ALL SELECT r_regionkey, r_name FROM region)), f AS (SELECT count(*) AS n FROM (SELECT r_regionkey, r_name FROM region EXCEPT ALL SELECT r_regionkey, r_name FROM region WHERE r_regionkey < 3)) SELECT e.n = 0 AS a_in_b, f.n = 0 AS b_in_a, (SELECT count(*) FROM region WHERE r_regionkey < 3) AS n_a, (SELECT count(*) FROM region) AS n_b FROM e, f")
+@q("WITH e AS (SELECT count(*) AS n FROM (SELECT n_regionkey FROM nation EXCEPT ALL SELECT r_regionkey FROM region)), f AS (SELECT count(*) AS n FROM (SELECT r_regionkey FROM region EXCEPT ALL SELECT n_regionkey FROM nation)) SELECT e.n = 0 AS a_in_b, f.n = 0 AS b_in_a, (SELECT count(*) FROM nation) AS n_a, (SELECT count(*) FROM region) AS n_b FROM e, f")
 def union_row_containment(spark, d):
-    r = table(spark, d, "region").select("r_regionkey", "r_name")
-    return storage.union_rows(r.where("r_regionkey < 3"), r)
+    return storage.union_rows(table(spark, d, "nation").select(F.col("n_regionkey").alias("k")), table(spark, d, "region").select(F.col("r_regionkey").alias("k")))
 
 
 @q("SELECT (SELECT count(*) FROM customer) AS n_a, (SELECT count(*) FROM supplier) AS n_b, (SELECT count(*) FROM customer JOIN supplier ON c_nationkey = s_nationkey) AS n_joined")
@@ -616,10 +707,26 @@ def table_size_summary(spark, d):
     return profile.size_summary(profile.table_sizes(values(spark, d)))
 
 
-@q()
+def _repeated(spark, d):
+    """All tables, two of them again in another row order, and nation with its names turned round: equal cells in different rows."""
+    n, o = table(spark, d, "nation"), table(spark, d, "orders")
+    turned = n.select("n_nationkey", "n_regionkey").join(n.select((24 - F.col("n_nationkey")).alias("n_nationkey"), "n_name"), "n_nationkey").select(*n.columns)
+    more = long_tables(spark, {"nation_again": (n.orderBy(F.desc("n_name")), 1), "nation_turned": (turned, 1), "orders_again": (o.orderBy("o_custkey"), 3)})
+    return values(spark, d).unionByName(more)
+
+
+def _digest_sql(t: str, source: str, name: str) -> str:
+    row = " || '|' || ".join(f"coalesce({c}::VARCHAR, 'null') || ':{c}:{k}'" for c, k in TPC[t].items())
+    return f"SELECT '{name}' AS table_name, md5(string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT md5({row}) AS h FROM {source})"
+
+
+TURNED = "(SELECT a.n_nationkey, b.n_name, a.n_regionkey FROM nation a JOIN nation b ON b.n_nationkey = 24 - a.n_nationkey)"
+CONTENT = "dg AS (" + " UNION ALL ".join([*(_digest_sql(t, t, t) for t in TPC), _digest_sql("nation", "nation", "nation_again"), _digest_sql("nation", TURNED, "nation_turned"), _digest_sql("orders", "orders", "orders_again")]) + "), content AS (SELECT table_name, min(table_name) OVER (PARTITION BY digest) AS same_as FROM dg)"
+
+
+@q(f"WITH {CONTENT} SELECT * FROM content")
 def content_identity(spark, d):
-    both = long_tables(spark, {"region": (table(spark, d, "region"), 1), "region_again": (table(spark, d, "region").orderBy(F.desc("r_name")), 1), "nation": (table(spark, d, "nation"), 1)})
-    return profile.content_ids(both).select("table_name", "same_as")
+    return profile.content_ids(_repeated(spark, d)).select("table_name", "same_as")
 
 
 @q("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS n_same FROM documents")
@@ -641,38 +748,50 @@ def _code(spark):
     return spark.createDataFrame(CODE, "nb_name string, code string")
 
 
-@q()
+#: A program for each part: a, b and c with the part's key or size, an operation by its size; some that are no code.
+OP, PROGRAM_OK = "CASE WHEN p_size % 2 = 0 THEN 'Add' ELSE 'Mult' END", "p_size % 10 <> 3"
+
+
+def _programs(spark, d):
+    k, z = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    lines = ["import numpy as np, pandas as pd", F.concat(F.lit("a"), k, F.lit(" = pd.read_csv('"), F.col("p_brand"), F.lit("')")), F.concat(F.lit("b"), k, F.lit(" = a"), k, F.lit(".merge(c"), z, F.lit(")")), F.concat(F.lit("b"), k, F.lit(" = b"), k, F.when(F.col("p_size") % 2 == 0, F.lit(" + a")).otherwise(F.lit(" * a")), k, F.lit("  # again")), F.concat(F.lit("from m"), k, F.lit(" import f"), z)]
+    code = F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in lines))
+    return table(spark, d, "part").select(k.alias("nb_name"), F.when(F.col("p_size") % 10 == 3, F.concat(F.lit("import os\nx = (\n"), k)).otherwise(code).alias("code"))
+
+
+PROGRAMS = f"o AS (SELECT p_partkey::VARCHAR AS k, p_size::VARCHAR AS z, {OP} AS op FROM part WHERE {PROGRAM_OK})"
+
+
+@q(f"WITH {PROGRAMS} SELECT k AS graph_id, unnest(['var_pd_1', 'var_a' || k || '_2', 'var_c' || z || '_1', 'var_b' || k || '_3', 'var_a' || k || '_2']) AS src, unnest(['var_a' || k || '_2', 'var_b' || k || '_3', 'var_b' || k || '_3', 'var_b' || k || '_4', 'var_b' || k || '_4']) AS dst, unnest(['read_csv', 'merge', 'merge', op, op]) AS op FROM o")
 def dependency_edges(spark, d):
-    return provenance.flow_graphs(_code(spark), id_col="nb_name", code_col="code")
+    return provenance.flow_graphs(_programs(spark, d), id_col="nb_name", code_col="code")
 
 
-@q()
+@q(f"WITH {PROGRAMS} SELECT k AS nb_name, unnest([2, 3, 3, 4, 4]) AS line, unnest(['a' || k, 'b' || k, 'b' || k, 'b' || k, 'b' || k]) AS lhs, unnest(['pd', 'a' || k, 'c' || z, 'b' || k, 'a' || k]) AS rhs_var, unnest(['read_csv', 'merge', 'merge', op, op]) AS op FROM o")
 def code_assignments(spark, d):
-    dependencies.register(spark)
-    _code(spark).createOrReplaceTempView("_weftline_sources")
-    return spark.sql("SELECT s.nb_name, a.line, a.lhs, a.rhs_var, a.op FROM _weftline_sources s, LATERAL code_assignments(s.code) a")
+    return dependencies.table_function(_programs(spark, d), "code_assignments", "code", ["nb_name"]).select("nb_name", "line", "lhs", "rhs_var", "op")
 
 
-@q("SELECT * FROM (VALUES ('n1', 'y', 6), ('n1', 'df', 2), ('n2', 'a', 6), ('n2', 'b', 5), ('n2', 'nothing', 0)) t(nb_name, var, line)")
+@q(f"SELECT p_partkey::VARCHAR AS nb_name, unnest(['a', 'b', 'nothing']) AS var, unnest(CASE WHEN {PROGRAM_OK} THEN [2, 4, 0] ELSE [0, 0, 0] END) AS line FROM part")
 def last_assignment(spark, d):
-    v = spark.createDataFrame([("n1", "y"), ("n1", "df"), ("n2", "a"), ("n2", "b"), ("n2", "nothing")], "nb_name string, var string")
-    return v.join(_code(spark), "nb_name").select("nb_name", "var", text.last_assignment("code", "var").alias("line"))
+    v = _programs(spark, d).withColumn("var", F.explode(F.array(*(F.lit(x) for x in ("a", "b", "nothing")))))
+    return v.select("nb_name", "var", text.last_assignment("code", F.when(F.col("var") == "nothing", F.col("var")).otherwise(F.concat("var", "nb_name"))).alias("line"))
 
 
-@q("SELECT * FROM (VALUES ('n1', 'pandas'), ('n2', 'SVC'), ('n2', 'numpyasnp'), ('n2', 'pandas'), ('n2', 'os')) t(nb_name, library)")
+@q(f"SELECT p_partkey::VARCHAR AS nb_name, unnest(CASE WHEN {PROGRAM_OK} THEN ['numpyasnp', 'pandas', 'f' || p_size] ELSE ['os'] END) AS library FROM part")
 def import_extraction(spark, d):
-    return _code(spark).select("nb_name", F.explode(text.imports("code")).alias("library"))
+    return _programs(spark, d).select("nb_name", F.explode(text.imports("code")).alias("library"))
 
 
 @q(
-    """WITH c AS (SELECT user_id AS u, event_type AS l, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT u, sum(n) AS n FROM c GROUP BY u), q AS (SELECT * FROM c WHERE u % 100 = 0),
-j AS (SELECT q.u AS a, c.u AS b, sum(least(q.n, c.n)) AS same FROM q JOIN c ON q.l = c.l GROUP BY ALL)
-SELECT a::VARCHAR AS a_id, b::VARCHAR AS b_id, (abs(x.n - y.n) + greatest(x.n, y.n) - same)::BIGINT AS distance FROM j JOIN s x ON x.u = a JOIN s y ON y.u = b"""
+    """WITH c AS (SELECT user_id AS u, event_type AS l, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT u, sum(n) AS n FROM c GROUP BY u), q AS (SELECT * FROM s WHERE u % 100 = 0),
+j AS (SELECT x.u AS a, y.u AS b, sum(least(x.n, y.n)) AS same FROM c x JOIN c y ON x.l = y.l WHERE x.u % 100 = 0 GROUP BY ALL)
+SELECT q.u::VARCHAR AS a_id, s.u::VARCHAR AS b_id, (abs(q.n - s.n) + greatest(q.n, s.n) - coalesce(same, 0))::BIGINT AS distance FROM q CROSS JOIN s LEFT JOIN j ON a = q.u AND b = s.u"""
 )
 def star_distance(spark, d):
-    """Stars are users with event types for labels; queries are the users whose id is divisible by 100."""
+    """Stars are users with event types for labels; queries are the users whose id is divisible by 100. Stars without a common label have a distance too."""
     s = table(spark, d, "events").select(F.col("user_id").cast("string").alias("graph_id"), F.lit("x").alias("node"), F.col("event_type").alias("label"))
-    return provenance.star_distances(s.where(F.col("graph_id").cast("long") % 100 == 0), s).select("a_id", "b_id", "distance")
+    return provenance.star_distances(s.where(F.col("graph_id").cast("long") % 100 == 0), s, sharing=False).select("a_id", "b_id", "distance")
 
 
 @q(
@@ -690,15 +809,20 @@ def clean_names(spark, d):
     return table(spark, d, "pages").select("page_id", text.clean_notebook_name("url").alias("name"))
 
 
-@q("SELECT * FROM (VALUES ('abccp1', true, 'abc'), ('abccp123', true, 'abc'), ('abccp1234', false, 'abccp1234'), ('cpabc', false, 'cpabc')) t(name, is_copy, original)")
+@q("WITH p AS (SELECT p_partkey, 'nb' || p_partkey || CASE p_size % 4 WHEN 0 THEN 'cp' || p_size WHEN 1 THEN '' WHEN 2 THEN 'cp' || (1000 + p_size) ELSE 'cp' END AS name, p_size % 4 = 0 AS is_copy FROM part) SELECT name, is_copy, CASE WHEN is_copy THEN 'nb' || p_partkey ELSE name END AS original FROM p")
 def copy_names(spark, d):
-    n = spark.createDataFrame([("abccp1",), ("abccp123",), ("abccp1234",), ("cpabc",)], "name string")
+    """Names with and without the ending of a copy."""
+    z = F.col("p_size")
+    end = F.when(z % 4 == 0, F.concat(F.lit("cp"), z.cast("string"))).when(z % 4 == 1, F.lit("")).when(z % 4 == 2, F.concat(F.lit("cp"), (z + 1000).cast("string"))).otherwise(F.lit("cp"))
+    n = table(spark, d, "part").select(F.concat(F.lit("nb"), F.col("p_partkey").cast("string"), end).alias("name"))
     return n.select("name", text.is_copy("name").alias("is_copy"), text.original_name(F.col("name")).alias("original"))
 
 
-@q("SELECT * FROM (VALUES (1, 'DataFrame'), (2, 'png'), (3, 'text'), (4, 'text')) t(i, kind)")
+@q("SELECT p_partkey AS i, CASE WHEN p_size % 3 = 0 THEN 'DataFrame' WHEN p_size % 3 = 1 AND p_size % 2 = 0 THEN 'png' ELSE 'text' END AS kind FROM part")
 def output_kind(spark, d):
-    o = spark.createDataFrame([(1, '<table border="1" class="dataframe">', False, True), (2, "", True, True), (3, "", True, False), (4, "<p>", False, True)], "i int, html string, png boolean, display boolean")
+    """Outputs with a table of class dataframe, pictures displayed or not, and others."""
+    z = F.col("p_size")
+    o = table(spark, d, "part").select(F.col("p_partkey").alias("i"), F.when(z % 3 == 0, F.lit('<table border="1" class="dataframe">')).otherwise(F.lit("<p>")).alias("html"), (z % 2 == 0).alias("png"), (z % 3 == 1).alias("display"))
     return o.select("i", text.output_kind("html", "png", "display").alias("kind"))
 
 
@@ -796,7 +920,11 @@ def join_mapping(spark, d):
     return mapping.join_mapping(sketched, mapping.column_pairs(v, v)).where("a_table_name < b_table_name")
 
 
-@q()
+SIMILAR = f"{parts_sql(False, 0.9)}, hits AS ({ranked_sql(f'0.1 * {COL_SCORE} + 0.9 * row_sim', 'n_mapped')})"
+GROUPS_SQL = "gr AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', {g})" for t, g in GROUPS.items()) + ") t(table_name, group_id))"
+
+
+@q(f"{SIMILAR}, {GROUPS_SQL}, best_of AS (SELECT a_table_name, group_id, max(score) AS score FROM hits JOIN gr ON table_name = b_table_name GROUP BY ALL) SELECT a_table_name, table_name AS b_table_name, score FROM best_of JOIN gr USING (group_id)")
 def group_scores(spark, d):
     """Hits of table search given to all tables of their groups."""
     hits = table_search.similar(values(spark, d, ("supplier",)), values(spark, d))
@@ -804,7 +932,7 @@ def group_scores(spark, d):
     return table_search.spread_to_groups(hits, groups).select("a_table_name", "b_table_name", F.round("score", 6).alias("score"))
 
 
-@q()
+@q(f"{SIMILAR}, also AS (SELECT b_table_name AS table_name, score FROM hits UNION ALL SELECT 'nation_again', score FROM hits WHERE b_table_name = 'nation') SELECT table_name, score FROM also QUALIFY row_number() OVER (PARTITION BY CASE table_name WHEN 'nation_again' THEN 'nation' ELSE table_name END ORDER BY score DESC, table_name) = 1")
 def distinct_hits(spark, d):
     """Hits without tables of equal content."""
     v = values(spark, d).unionByName(values(spark, d, ("nation",)).withColumn("table_name", F.lit("nation_again")))
@@ -812,11 +940,20 @@ def distinct_hits(spark, d):
     return tables.drop_same_content(hits, profile.content_ids(v), 10)
 
 
-@q()
+@q(
+    f"""WITH RECURSIVE {N}, {E()}, st AS (SELECT nb, src AS node, '+' || dst_label AS label FROM e UNION ALL SELECT nb, dst, '-' || src_label FROM e), c AS (SELECT nb, node, label, count(*) AS n FROM st GROUP BY ALL), z AS (SELECT nb, node, sum(n) AS n FROM c GROUP BY ALL),
+sm AS (SELECT x.nb AS ga, x.node AS l, y.nb AS gb, y.node AS r, sum(least(x.n, y.n)) AS same FROM c x JOIN c y ON x.label = y.label WHERE x.nb::BIGINT % 100 = 0 GROUP BY ALL),
+p0 AS (SELECT x.nb AS ga, y.nb AS gb, x.node AS l, y.node AS r, -(abs(x.n - y.n) + greatest(x.n, y.n) - coalesce(same, 0)) AS s FROM z x JOIN z y ON x.nb::BIGINT % 100 = 0 LEFT JOIN sm ON sm.ga = x.nb AND sm.gb = y.nb AND sm.l = x.node AND sm.r = y.node),
+{greedy_sql('m', 'p0')}, t AS (SELECT ga, gb, sum(-s)::BIGINT AS distance FROM m GROUP BY ALL) SELECT ga AS a_id, gb AS b_id, distance, row_number() OVER (PARTITION BY ga ORDER BY distance, gb) AS rank FROM t QUALIFY rank <= 2"""
+)
 def nearest_provenance(spark, d):
-    """The nearest data flows of each made-up program by star mapping."""
-    s = provenance.stars(provenance.flow_graphs(_code(spark), id_col="nb_name", code_col="code"))
-    return provenance.nearest(s, s, 2).select("a_id", "b_id", "distance", "rank")
+    """The two nearest graphs of each conversation whose id is divisible by 100, by star mapping; labels are the neighbours' kinds."""
+    n, e = conv_nodes(spark, d), conv_edges(spark, d)
+    kind = n.select("nb_name", "node", F.col("node_type").alias("kind"))
+    e = e.join(kind.withColumnsRenamed({"node": "src", "kind": "src_kind"}), ["nb_name", "src"]).join(kind.withColumnsRenamed({"node": "dst", "kind": "dst_kind"}), ["nb_name", "dst"])
+    s = e.select(F.col("nb_name").alias("graph_id"), F.explode(F.array(F.struct(F.col("src").alias("node"), F.concat(F.lit("+"), "dst_kind").alias("label")), F.struct(F.col("dst").alias("node"), F.concat(F.lit("-"), "src_kind").alias("label")))).alias("x")).select("graph_id", "x.node", "x.label")
+    found = provenance.nearest(s.where(F.col("graph_id").cast("long") % 100 == 0), s, 2)
+    return found.select("a_id", "b_id", "distance", F.col("rank").cast("long").alias("rank"))
 
 
 @q()
