@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.model import ANY, CELL, ONE, OUTPUT, VAR, Query, SearchConfig, node_score, query
+from weftline.model import ANY, CELL, ONE, OUTPUT, SHAPES, VAR, Query, SearchConfig, node_score, query, shaped
 from weftline.operators import graph_stats, match, reach, scale, score
 from weftline.plans import search
 
@@ -130,6 +130,61 @@ def test_pruned_equals_unpruned(spark, mode, weights):
     a = search.search(n, e, q, config, libraries=lib, pair_sim=sims).collect()
     b = search.pruned_search(n, e, q, config, lambda asked: sims if asked is None else sims.join(asked, ["q", "d"], "left_semi"), libraries=lib).collect()
     assert [x["nb_name"] for x in a] == [x["nb_name"] for x in b] and [x["score"] for x in a] == pytest.approx([x["score"] for x in b])
+    c = search.code_pruned_search(n, e, q, config, libraries=lib, pair_sim=sims).collect()
+    assert [x["nb_name"] for x in a] == [x["nb_name"] for x in c] and [x["score"] for x in a] == pytest.approx([x["score"] for x in c])
+    if mode == "single":
+        plain = SearchConfig(k=4, w_code=weights[0], w_data=0.0, w_library=weights[2])
+        x, y = search.search(n, e, q, plain, libraries=lib).collect(), search.code_pruned_search(n, e, q, plain, libraries=lib).collect()
+        assert [r["score"] for r in x] == pytest.approx([r["score"] for r in y])
+
+
+def test_search_compares_tables_by_itself(graph, spark):
+    long = "table_name string, group_id int, col string, col_pos int, dtype string, row_id long, value string"
+
+    def cells(name, *vals):
+        return [(name, 1, "a", 0, "object", i, v) for i, v in enumerate(vals)]
+
+    n, e = graph
+    q = query({"c": CELL, "v": VAR}, [("c", "v")])
+    tables = spark.createDataFrame(cells("v", "x", "y"), long), spark.createDataFrame(cells("t1", "x", "z") + cells("t2", "q"), long), spark.createDataFrame([("v1", "t1"), ("v2", "t2")], "d string, table_name string")
+    config = SearchConfig(w_code=0.0, w_data=1.0, w_output=0.0)
+    assert search.search(n, e, q, config, tables=tables).first()["score"] == pytest.approx(1 / 3)
+    assert search.search(n, e, q, config, tables=tables, how="search").first()["score"] == pytest.approx(0.1 * 1 / 1 + 0.9 / 3)
+
+
+def test_similarities_are_computed_once_a_content(spark, monkeypatch):
+    from weftline.plans import data_similarity as D
+
+    long = "table_name string, group_id int, col string, col_pos int, dtype string, row_id long, value string"
+    cells = lambda name, *vals: [(name, 1, "a", 0, "object", i, v) for i, v in enumerate(vals)]
+    query_ = spark.createDataFrame(cells("q", "x", "y"), long)
+    values = spark.createDataFrame(cells("t", "x") + cells("u", "x") + cells("w", "y", "x") + cells("z", "o"), long)
+    variables = spark.createDataFrame([(f"n{k}", t) for k, t in enumerate("tuwzt")], "d string, table_name string")
+    compared = []
+    real = D.table_pairs
+    monkeypatch.setattr(D, "table_pairs", lambda a, b, **k: compared.append({r["table_name"] for r in b.select("table_name").distinct().collect()}) or real(a, b, **k))
+    first, cache = D.pair_similarity(query_, values, variables.where("table_name != 'z'"))
+    assert {r["d"]: r["sim"] for r in first.collect()} == {"n0": 0.5, "n1": 0.5, "n2": 1.0, "n4": 0.5}
+    again, _ = D.pair_similarity(query_, values, variables, cache=cache)
+    assert {r["d"]: r["sim"] for r in again.collect()} == {"n0": 0.5, "n1": 0.5, "n2": 1.0, "n3": 0.0, "n4": 0.5}
+    assert compared == [{"t", "w"}, {"z"}]
+
+
+def test_workflows_below_roots_and_summary(graph, spark):
+    n, e = graph
+    got = {r["root"]: (r["n_cell"], r["n_var"], r["n_output"]) for r in graph_stats.root_workflow_stats(n, e, reach.closure(e)).collect()}
+    assert got == {"c1": (3, 1, 3)}
+    two = n.unionByName(spark.createDataFrame([("other", "z", CELL, None, "")], n.schema))
+    rows = {(r["part"], r["name"]): (r["min_v"], r["max_v"], r["avg_v"], r["sum_v"]) for r in graph_stats.dataset_summary(two, spark.createDataFrame([("t", 5), ("u", 7)], "table_name string, n_bytes long")).collect()}
+    assert rows["Node", CELL] == (1, 3, 2.0, 4) and rows["Node", VAR] == (0, 1, 0.5, 1) and rows["Table", "table data"] == (5, 7, 6.0, 12)
+    v = spark.createDataFrame([("nb", "2_my_df_nb", VAR)], "nb_name string, node string, node_type string")
+    assert [tuple(r) for r in graph_stats.table_variables(v).collect()] == [("nb", "my_df")]
+
+
+@pytest.mark.parametrize("shape", sorted(SHAPES))
+def test_shapes(shape):
+    q = shaped(shape, {"c1": "x = 1"}, ["pandas"])
+    assert q.root == "c1" and q.count(CELL) >= 3 and q.node("c1").contents == "x = 1" and q.libraries == ("pandas",)
 
 
 def test_unmatched_notebooks_on_demand(graph, spark):

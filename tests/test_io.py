@@ -118,3 +118,66 @@ def test_streaming_ingest_writes_each_key_once(spark, tmp_path):
         ingest(spark, src, dst, "libraries", ["nb_name", "library"], str(tmp_path / f"cp{k}")).awaitTermination(60)
         df.unionAll(spark.createDataFrame([("m", "c")], df.schema)).write.mode("append").parquet(src)
     assert spark.read.parquet(dst).count() == 3
+
+
+def test_ingest_from_files_to_graph(spark, tmp_path, notebook):
+    from weftline.sources import ingest as whole
+
+    src = [c for c in NB["cells"]] + [{"cell_type": "code", "source": ["dg = df.head()\n", "n = 3"], "outputs": []}]
+    (tmp_path / "k" / "my-nb.ipynb").write_text(json.dumps(NB | {"cells": src}))
+    root = str(tmp_path / "store")
+    for _ in range(2):  # what is stored stays as it is
+        done = whole.ingest(spark, str(tmp_path), root, is_table=F.col("var").startswith("d"))
+        assert set(done) == {"cells", "libraries", "display_types", "cell_dict", "lineage", "wf_nodes", "wf_edges"} and not any(done.values())
+        assert {r["cell_id"] for r in spark.read.parquet(f"{root}/cells").collect()} == {2, 3, 4}
+        assert [tuple(r) for r in spark.read.parquet(f"{root}/libraries").collect()] == [("kmynb", "pandas")]
+        nodes, edges = graph.load(spark, root)
+        assert {(r["node"], r["node_type"]) for r in nodes.collect()} >= {("cell_2_kmynb", "Cell"), ("2_df_kmynb", "Var"), ("4_dg_kmynb", "Var"), ("3_png_kmynb", "Display_data")}
+        assert nodes.where("node_type = 'Var'").count() == 2
+        assert {(r["src"], r["dst"]) for r in edges.where("rel = 'Usedby'").collect()} == {("2_df_kmynb", "cell_3_kmynb"), ("2_df_kmynb", "cell_4_kmynb")}
+    stars = graph.lineage_stars(graph.stored_lineage(spark, f"{root}/lineage"))
+    assert {(r["graph_id"], r["node"], r["label"]) for r in stars.where("graph_id = '4_dg_kmynb'").collect()} == {("4_dg_kmynb", n, x) for n, x in (("var_dg_4_kmynb", "-head"), ("var_df_2_kmynb", "+head"), ("var_df_2_kmynb", "-DataFrame"), ("pdkmynb", "+DataFrame"))}
+    kept = graph.reused(nodes, edges, "own")
+    assert spark.table("own_nodes").count() == kept[0].count()
+    for df in kept:
+        df.unpersist()
+
+
+def test_ingest_goes_on_after_a_failure(spark, tmp_path, notebook, monkeypatch):
+    from weftline.sources import ingest as whole
+
+    monkeypatch.setattr(sinks, "store_libraries", lambda *_: 1 / 0)
+    done = whole.ingest(spark, str(tmp_path / "k"), str(tmp_path / "store"))
+    assert done["libraries"].startswith("ZeroDivisionError") and done["cells"] is None and done["wf_edges"] is None
+
+
+def test_variables_index_and_caches(spark, tmp_path):
+    from weftline.operators.columns import long_form
+
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "`a %` int, c string")
+    lineage = spark.createDataFrame([("2_v_nb", {1: {"lhs": ["v"], "rhs": []}}, {1: 2}, 1), ("other", {1: {"lhs": ["w"], "rhs": []}}, {1: 2}, 1)], "view_id string, dependency map<int,struct<lhs:array<string>,rhs:array<struct<var:string,op:string>>>>, line2cid map<int,int>, last_line int")
+    assert sinks.store_variables({"2_v_nb": df}, lineage, str(tmp_path)) == {}
+    assert [r[0] for r in spark.read.parquet(str(tmp_path / "indexed")).collect()] == ["2_v_nb"] and spark.read.parquet(str(tmp_path / "lineage")).count() == 1
+    stored = tables.one_table(spark, str(tmp_path / "tables"), "2_v_nb")
+    assert stored.columns == ["a", "c"] and tables.one_table(spark, str(tmp_path / "tables"), "gone") is None
+    values = long_form(stored, "2_v_nb", 1)
+    sinks.build_index(values, str(tmp_path / "index"), spark.createDataFrame([("g", "n", "+a")], "graph_id string, node string, label string"))
+    index, found = sinks.load_schema_index(spark, str(tmp_path / "index"))
+    assert index.count() == 2 and found.count() == 4 and spark.read.parquet(str(tmp_path / "index" / "sketch")).count() == 4
+    (tmp_path / "s.json").write_text('[["q", "d", 0.5],\n ["q", "e", 1], ["q", "d", 0.25]]')
+    assert {tuple(r) for r in graph.similarity_list(spark, str(tmp_path / "s.json")).collect()} == {("q", "d", 0.25), ("q", "e", 1.0)}
+    sinks.store_ids({"t": 4}, spark, str(tmp_path / "ids"))
+    assert [tuple(r) for r in sinks.load_ids(spark, str(tmp_path / "ids")).collect()] == [(4, "t")]
+
+
+def test_equal_cells_in_other_rows_are_another_version(spark, tmp_path):
+    one, two = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(1, "b"), (2, "a")], "k int, v string")
+    assert sinks.store_version(one, str(tmp_path), "v") and sinks.store_version(two, str(tmp_path), "v")
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "v")).collect()} == {(1, "b"), (2, "a")}
+
+
+def test_statements():
+    from weftline.functions.dependencies import statements
+
+    code = "%matplotlib inline\nx = f(1,  # one\n  2)\n\n# only a comment\ny = '#(' # tail\nz = [\n 1,\n]\nopen = (1,"
+    assert statements(code) == ["x = f(1,    2)", "y = '#(' ", "z = [ 1,]", "open = (1,"] and statements(None) == []

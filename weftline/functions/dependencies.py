@@ -30,6 +30,61 @@ def clean(code: str) -> str:
     return "\n".join(kept)
 
 
+def statements(code: str | None) -> list[str]:
+    """Code lines with those that an open bracket or quote continues joined to one; magics, comments and empty lines are dropped.
+
+    Quotes of either kind open and close; brackets and # inside them don't count.
+    """
+    out, held, quote, depth = [], "", "", 0
+    for line in (code or "").split("\n"):
+        if not line.strip() or (not held and line.lstrip().startswith("%")):
+            continue
+        end = len(line)
+        for i, c in enumerate(line):
+            if quote:
+                quote = "" if c == quote else quote
+            elif c in "\"'":
+                quote = c
+            elif c in "([{":
+                depth += 1
+            elif c in ")]}":
+                depth -= 1
+            elif c == "#":
+                end = i
+                break
+        if line[:end].strip():
+            held += line[:end]
+            if not quote and depth <= 0:
+                out.append(held)
+                held, depth = "", 0
+    return [*out, held] if held else out
+
+
+def names_read(code: str) -> list[str]:
+    """The different names that code reads, in order of appearance."""
+    try:
+        tree = ast.parse(clean(code))
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    return list(dict.fromkeys(n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)))
+
+
+def lineage_star(view_id: str, dependency: dict, line2cid: dict, last_line: int) -> dict[str, list[str]]:
+    """The star graph around a stored variable: definitions are var_<name>_<cell>_<notebook>, each reads from the latest earlier one."""
+    _, *middle, notebook = view_id.split("_")
+    last: dict[str, str] = {}
+    edges = []
+    for line in sorted(dependency):
+        entry = dependency[line]
+        left = {w: f"var_{w}_{line2cid.get(line)}_{notebook}" for w in entry["lhs"] or ()}
+        for to in left.values():
+            for r in entry["rhs"] or ():
+                missing = f"{r['var']}{notebook}" if r["var"] in ("np", "pd") else f"var_{r['var']}_1_{notebook}"
+                edges.append((last.get(r["var"], missing), to, r["op"]))
+        last.update(left)
+    return star(edges, f"var_{'_'.join(middle)}_{line2cid.get(last_line)}_{notebook}")
+
+
 def _reads(node: ast.AST, operation: str):
     """(variable, operation) of each name read in an expression; an operation is named by the innermost construct around the name."""
     if isinstance(node, ast.Name):
@@ -148,20 +203,43 @@ class Variables:
             yield (w,)
 
 
+@udtf(returnType="var string")
+class Reads:
+    """The distinct names that a text of code reads."""
+
+    def eval(self, code: str):
+        for w in names_read(code):
+            yield (w,)
+
+
+@udtf(returnType="node string, label string")
+class LineageStars:
+    """A row for each label of each node of the star graph around a stored variable."""
+
+    def eval(self, view_id: str, dependency: dict, line2cid: dict, last_line: int):
+        plain = {k: {"lhs": v["lhs"], "rhs": v["rhs"]} for k, v in (dependency or {}).items()}
+        for node, labels in lineage_star(view_id, plain, line2cid or {}, last_line).items():
+            for label in labels:
+                yield node, label
+
+
 def register(spark) -> None:
+    spark.udtf.register("code_reads", Reads)
+    spark.udtf.register("lineage_stars", LineageStars)
     spark.udtf.register("code_assignments", Assignments)
     spark.udtf.register("code_flow", FlowEdges)
     spark.udtf.register("code_variables", Variables)
 
 
-def table_function(frame, function: str, argument: str, keep: list[str]):
-    """frame's keep columns with the rows that a registered table function gives for its argument column; the view's name is its own."""
+def table_function(frame, function: str, argument: str | list[str], keep: list[str]):
+    """frame's keep columns with the rows that a registered table function gives for its argument column(s); the view's name is its own."""
     import uuid
 
     register(frame.sparkSession)
+    arguments = ", ".join(f"t.`{c}`" for c in ([argument] if isinstance(argument, str) else argument))
     view = f"_weftline_{uuid.uuid4().hex}"
     frame.createOrReplaceTempView(view)
     try:
-        return frame.sparkSession.sql(f"SELECT {', '.join(f't.`{c}`' for c in keep)}, f.* FROM {view} t, LATERAL {function}(t.`{argument}`) f")
+        return frame.sparkSession.sql(f"SELECT {', '.join(f't.`{c}`' for c in keep)}, f.* FROM {view} t, LATERAL {function}({arguments}) f")
     finally:
         frame.sparkSession.catalog.dropTempView(view)

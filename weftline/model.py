@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections import defaultdict
 from collections.abc import Iterable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 CELL, VAR, OUTPUT, ANY, ONE = "Cell", "Var", "Display_data", "AnyWildcard", "OneWildcard"
 
@@ -132,6 +132,25 @@ def query(nodes: dict[str, str], edges: Iterable[tuple[str, str]], contents: dic
     return Query(tuple(QueryNode(k, v, contents.get(k), display.get(k)) for k, v in nodes.items()), tuple(edges), tuple(libraries)).validate()
 
 
+#: Shapes of the experiments' query graphs: c cells, v tables, o outputs, r reachability.
+SHAPES = {
+    "one": "c1>c2 c2>c3 c2>v1 c2>o1 c3>c4 c4>o2",
+    "two": "c1>c2 c2>c3 c2>v1 c2>o1 c3>c4 c4>v2",
+    "three": "c1>c2 c1>v1 c1>o1 c2>c3 c3>c4 c4>v2",
+    "four": "c1>c2 c2>c3 c2>v1",
+    "outputs": "c1>c2 c2>c3 c1>v1 c1>o1 c2>o2 c3>o3",
+    "far": "c1>r1 r1>c2 c2>r2 r2>c3 c2>v1 c2>o1 c3>c4 c4>o2",
+    "far_outputs": "c1>r1 r1>c2 c2>r2 r2>c3 c3>c4 c1>v1 c1>o1 c2>o2 c4>o3",
+}
+
+
+def shaped(shape: str, contents: dict[str, str] | None = None, libraries: Iterable[str] = (), display: dict[str, str] | None = None) -> Query:
+    """A query graph of one of SHAPES (or of a text like them)."""
+    edges = [tuple(e.split(">")) for e in SHAPES.get(shape, shape).split()]
+    names = dict.fromkeys(n for e in edges for n in e)
+    return query({n: {"c": CELL, "v": VAR, "o": OUTPUT, "r": ANY}[n[0]] for n in names}, edges, contents, libraries, display)
+
+
 @dataclass(frozen=True)
 class SearchConfig:
     """Weights and switches. Negative node weights ask for dissimilarity; the library weight is used as it is."""
@@ -146,10 +165,7 @@ class SearchConfig:
     data_weight_mode: str = "single"
     injective: bool = False
     include_unmatched: bool = False
-    column_threshold: float = 0.3
-    prune: bool = True
     code_similarity: str = "tokens"
-    extra: dict = field(default_factory=dict)
 
     def node_weights(self, q: Query) -> dict[str, float]:
         """Weights by label: divided by the query's cells, tables and twice its outputs where normalise is set."""

@@ -63,6 +63,35 @@ def roots(nodes: DataFrame, edges: DataFrame, label: str = CELL) -> DataFrame:
     return own.join(into, ["nb_name", "node"], "left_anti")
 
 
+def root_workflow_stats(nodes: DataFrame, edges: DataFrame, reach: DataFrame) -> DataFrame:
+    """(nb_name, root, n_cell, n_var, n_output): the nodes of the workflow below each root cell, itself included, each once. reach: closure of the edges to follow."""
+    top = roots(nodes, edges).select("nb_name", F.col("node").alias("root"))
+    below = top.join(reach.select("nb_name", F.col("src").alias("root"), F.col("dst").alias("node")), ["nb_name", "root"]).unionByName(top.withColumn("node", F.col("root"))).distinct()
+    kinds = below.join(nodes.select("nb_name", "node", "node_type"), ["nb_name", "node"])
+    return kinds.groupBy("nb_name", "root").agg(*(F.count(F.when(F.col("node_type") == label, 1)).alias(name) for label, name in ((CELL, "n_cell"), (VAR, "n_var"), (OUTPUT, "n_output"))))
+
+
+def dataset_summary(nodes: DataFrame, table_bytes: DataFrame | None = None) -> DataFrame:
+    """(part, name, min_v, max_v, avg_v, sum_v): nodes a notebook by label, outputs a notebook by type, and bytes a table; a notebook without any counts as 0."""
+    all_ = nodes.select("nb_name").distinct()
+
+    def counted(rows, part, name):
+        each = rows.groupBy("nb_name", F.col(name).alias("name")).agg(F.count("*").alias("v"))
+        kinds = [r["name"] for r in each.select("name").distinct().collect()]  # labels or output types: a handful
+        every = all_.withColumn("name", F.explode(F.array(*(F.lit(x) for x in kinds)) if kinds else F.array().cast("array<string>")))
+        return every.join(each, ["nb_name", "name"], "left").select(F.lit(part).alias("part"), "name", F.coalesce("v", F.lit(0)).alias("v"))
+
+    long = counted(nodes, "Node", "node_type").unionByName(counted(nodes.where((F.col("node_type") == OUTPUT) & F.col("display_type").isNotNull()), "Outputs", "display_type"))
+    if table_bytes is not None:
+        long = long.unionByName(table_bytes.select(F.lit("Table").alias("part"), F.lit("table data").alias("name"), F.col("n_bytes").alias("v")))
+    return long.groupBy("part", "name").agg(F.min("v").alias("min_v"), F.max("v").alias("max_v"), F.avg("v").alias("avg_v"), F.sum("v").alias("sum_v"))
+
+
+def table_variables(nodes: DataFrame) -> DataFrame:
+    """(nb_name, var): the names of the notebooks' table variables, from node names <cell>_<var>_<notebook>."""
+    return nodes.where(F.col("node_type") == VAR).select("nb_name", F.regexp_extract("node", "^[^_]*_(.*)_[^_]*$", 1).alias("var")).distinct()
+
+
 def library_sets(libraries: DataFrame) -> DataFrame:
     return libraries.groupBy("nb_name").agg(F.array_sort(F.collect_set("library")).alias("libraries"))
 

@@ -29,6 +29,12 @@ def sketch_values(values: DataFrame, keys: list[str], size: int = SKETCH_VALUES)
     return own.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= size).drop("_n")
 
 
+def sketch(values: DataFrame, *, columns: int = SKETCH_COLUMNS, rows: int = SKETCH_VALUES) -> DataFrame:
+    """(table_name, col, dtype, value): of the columns that stand for each table a sample of their values."""
+    chosen = sketch_columns(column_profile(values), columns).select("table_name", "col")
+    return sketch_values(values.join(chosen, ["table_name", "col"], "left_semi"), ["table_name"], rows)
+
+
 def schema_index(values: DataFrame) -> DataFrame:
     """(group_id, col, sid, dtype, n_tables, n_distinct) of the columns of each group of tables; sid numbers columns by first position and name."""
     # each different value once, combined before the shuffle; tables are counted in a pass of their own that reads no value

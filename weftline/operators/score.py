@@ -42,16 +42,16 @@ def with_pair_similarity(nodes: DataFrame, pair_sim: DataFrame, names: list[str]
     return nodes.join(wide, "node", "left").fillna(0.0, [f"sim_{n}" for n in names])
 
 
-def match_scores(matches: DataFrame, q: Query, config: SearchConfig, *, data: bool = True, rest: bool = True) -> DataFrame:
-    """matches (with carried sim_<q> and display_type columns) with score: the weighted sum over their nodes."""
+def match_scores(matches: DataFrame, q: Query, config: SearchConfig, *, code: bool = True, data: bool = True, output: bool = True) -> DataFrame:
+    """matches (with carried sim_<q> and display_type columns) with score: the weighted sum over their nodes, of the parts asked for."""
     w = config.node_weights(q)
     total = F.lit(0.0)
     for n in q.nodes:
         if n.name not in matches.columns:
             continue
-        if n.label == CELL and rest:
+        if n.label == CELL and code:
             total += weighted(w[CELL], F.col(f"{n.name}__sim_{n.name}"))
-        elif n.label == OUTPUT and rest:
+        elif n.label == OUTPUT and output:
             total += weighted(w[OUTPUT], F.coalesce((F.col(f"{n.name}__display_type") == F.lit(n.display_type)).cast("double"), F.lit(0.0)))
         elif n.label == VAR and data:
             total += data_weighted(w[VAR], F.col(f"{n.name}__sim_{n.name}"), config.data_weight_mode)

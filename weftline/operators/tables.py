@@ -44,8 +44,8 @@ def row_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).agg(F.coalesce(F.sum(F.col("a") * F.col("b")) / F.count("*"), F.lit(0.0)).alias("sim"))
 
 
-def row_string_similarity(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """One row: over the keys that a and b share, the mean of the mean Jaccard of their rows' value sets.
+def row_string_similarity(a: DataFrame, b: DataFrame, key: str, columns: list[str], *, n: int | None = None) -> DataFrame:
+    """One row: over the keys that a and b share (the n smallest of them where n is given), the mean of the mean Jaccard of their rows' value sets.
 
     a and b carry the key and the mapped columns under one name each. Sums and
     counts are kept by key, so a key with many rows is combined before it moves.
@@ -57,7 +57,10 @@ def row_string_similarity(a: DataFrame, b: DataFrame, key: str, columns: list[st
     both = F.size(F.array_intersect("x", "y"))
     sim = F.coalesce(both / (F.size("x") + F.size("y") - both), F.lit(0.0))
     pairs = rows(a, "x").join(rows(b, "y"), key)
-    return pairs.groupBy(key).agg(F.avg(sim).alias("s")).agg(F.avg("s").alias("sim"), F.count("*").alias("n_keys"))
+    by_key = pairs.groupBy(key).agg(F.avg(sim).alias("s"))
+    if n is not None:
+        by_key = by_key.orderBy(key).limit(n)
+    return by_key.agg(F.avg("s").alias("sim"), F.count("*").alias("n_keys"))
 
 
 def drop_same_content(ranked: DataFrame, classes: DataFrame, k: int, *, name: str = "table_name", order: list[Column] | None = None) -> DataFrame:

@@ -352,6 +352,32 @@ def topk_pruned(spark, d):
     return got.select("nb_name", F.round("score", 6).alias("score"))
 
 
+@q(_top_sql(1.0, 1.0))
+def topk_code_pruned(spark, d):
+    """Code is compared last, for notebooks that can still be among the best."""
+    got = search.code_pruned_search(conv_nodes(spark, d), conv_edges(spark, d), CHAIN, SearchConfig(), pair_sim=_data_sim(spark, d)(None))
+    return got.select("nb_name", F.round("score", 6).alias("score"))
+
+
+@q(
+    f"""WITH RECURSIVE {N}, {E()}, r AS (SELECT nb, src, dst FROM e UNION SELECT r.nb, r.src, e.dst FROM r JOIN e ON e.nb = r.nb AND e.src = r.dst), t AS (SELECT nb, node FROM n WHERE label = 'Cell' AND NOT EXISTS (SELECT 1 FROM e WHERE e.nb = n.nb AND e.dst = n.node AND e.src_label = 'Cell')),
+b AS (SELECT t.nb, t.node AS root, r.dst AS node FROM t JOIN r ON r.nb = t.nb AND r.src = t.node UNION SELECT nb, node, node FROM t)
+SELECT b.nb AS nb_name, root, count(*) FILTER (label = 'Cell') AS n_cell, count(*) FILTER (label = 'Var') AS n_var, count(*) FILTER (label = 'Display_data') AS n_output FROM b JOIN n ON n.nb = b.nb AND n.node = b.node GROUP BY ALL"""
+)
+def root_workflow_stats(spark, d):
+    e = conv_edges(spark, d)
+    return graph_stats.root_workflow_stats(conv_nodes(spark, d), e, reach.closure(e))
+
+
+@q(
+    f"""WITH {N}, b AS (SELECT DISTINCT nb FROM n), k AS (SELECT DISTINCT 'Node' AS part, label AS name FROM n UNION ALL SELECT DISTINCT 'Outputs', 'text' FROM n WHERE label = 'Display_data'), c AS (SELECT nb, 'Node' AS part, label AS name, count(*) AS v FROM n GROUP BY ALL UNION ALL SELECT nb, 'Outputs', 'text', count(*) FROM n WHERE label = 'Display_data' GROUP BY ALL),
+l AS (SELECT k.part, k.name, coalesce(c.v, 0) AS v FROM b CROSS JOIN k LEFT JOIN c ON c.nb = b.nb AND c.part = k.part AND c.name = k.name UNION ALL SELECT 'Table', 'table data', n_bytes FROM (SELECT sum(CASE WHEN dtype IN ('int64', 'bool') THEN 4 WHEN dtype = 'object' THEN length(value) ELSE 8 END)::BIGINT AS n_bytes FROM ({long_sql()}) WHERE value IS NOT NULL GROUP BY table_name))
+SELECT part, name, min(v) AS min_v, max(v) AS max_v, avg(v) AS avg_v, sum(v)::BIGINT AS sum_v FROM l GROUP BY ALL"""
+)
+def dataset_summary(spark, d):
+    return graph_stats.dataset_summary(conv_nodes(spark, d), profile.table_sizes(values(spark, d)))
+
+
 @q(f"WITH {N} SELECT nb AS nb_name, label AS node_type, string_agg(node, ',' ORDER BY node) AS nodes FROM n GROUP BY ALL")
 def label_lists(spark, d):
     return graph_stats.label_lists(conv_nodes(spark, d)).select("nb_name", "node_type", F.array_join("nodes", ",").alias("nodes"))
@@ -548,6 +574,17 @@ def table_similarity(spark, d):
     return tables.table_similarity(v, v).where("a_table_name != b_table_name").select("a_table_name", "b_table_name", "n_mapped", F.round("sim", 6).alias("sim"))
 
 
+@q(f"{ALL_PAIRS.replace('FROM s WHERE ta <> tb)', 'FROM s WHERE ta = ' + quoted('supplier') + ')')}, {greedy_sql('m', 'p0')}, w AS (SELECT table_name, count(DISTINCT col) AS n FROM ({long_sql()}) GROUP BY ALL), t AS (SELECT gb, sum(s) / greatest(any_value(x.n), any_value(y.n)) AS sim FROM m JOIN w x ON x.table_name = 'supplier' JOIN w y ON y.table_name = gb GROUP BY gb) SELECT 'v1' AS q, 'var_' || w.table_name AS d, round(coalesce(sim, 0), 6) AS sim FROM w LEFT JOIN t ON gb = w.table_name")
+def data_similarity(spark, d):
+    """A query table, with the values of supplier, and the table variables of a workflow."""
+    from .plans.data_similarity import pair_similarity
+
+    v = values(spark, d)
+    variables = spark.createDataFrame([(f"var_{t}", t) for t in TPC], "d string, table_name string")
+    got, _ = pair_similarity(values(spark, d, ("supplier",)).withColumn("table_name", F.lit("v1")), v, variables)
+    return got.select("q", "d", F.round("sim", 6).alias("sim"))
+
+
 @q(
     f"""WITH c AS (SELECT table_name, dtype, count(DISTINCT col) AS n FROM ({long_sql()}) GROUP BY ALL), t AS (SELECT table_name, sum(n) AS n FROM c GROUP BY table_name)
 SELECT a.table_name AS a_table_name, b.table_name AS b_table_name, sum(least(a.n, b.n))::DOUBLE / any_value(t.n)::DOUBLE AS sim FROM c a JOIN c b ON a.dtype = b.dtype JOIN t ON t.table_name = a.table_name GROUP BY ALL"""

@@ -44,6 +44,31 @@ def lineage(dependency: DataFrame, line2cid: DataFrame, last_line: DataFrame) ->
     return both.select("view_id", by_line("dependency", "struct<lhs:array<string>,rhs:array<struct<var:string,op:string>>>"), by_line("line2cid", "int"), F.col("last").cast("int").alias("last_line")).where("last_line > 0")
 
 
+def lineage_stars(lineage_: DataFrame) -> DataFrame:
+    """(graph_id, node, label) of the star graph around each stored variable (rows of lineage()); variables without edges have none."""
+    from ..functions.dependencies import table_function
+
+    return table_function(lineage_, "lineage_stars", ["view_id", "dependency", "line2cid", "last_line"], ["view_id"]).withColumnRenamed("view_id", "graph_id")
+
+
+def stored_lineage(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of lineage() from a table that sinks.store_lineage() wrote."""
+    kept = spark.read.parquet(path)
+
+    def by_line(column, kind):
+        return F.transform_keys(F.from_json(column, f"map<string,{kind}>"), lambda k, _: k.cast("int")).alias(column)
+
+    return kept.select("view_id", by_line("dependency", "struct<lhs:array<string>,rhs:array<struct<var:string,op:string>>>"), by_line("line2cid", "int"), "last_line").where("last_line > 0")
+
+
+def reused(nodes: DataFrame, edges: DataFrame, name: str = "workflow") -> tuple[DataFrame, DataFrame]:
+    """A loaded graph kept in memory and on disk, and as views <name>_nodes and <name>_edges, for further searches of the session."""
+    kept = nodes.persist(), edges.persist()
+    for df, part in zip(kept, ("nodes", "edges"), strict=True):
+        df.createOrReplaceTempView(f"{name}_{part}")
+    return kept
+
+
 def name_map(spark: SparkSession, path: str) -> DataFrame:
     """(name, value) of a JSON object in a file."""
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
@@ -55,6 +80,12 @@ def similarity_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.from_json("value", "array<string>").alias("x")).select(F.col("x")[0].alias("q"), F.col("x")[1].alias("d"), F.col("x")[2].cast("double").alias("sim"))
 
 
+def similarity_list(spark: SparkSession, path: str) -> DataFrame:
+    """(q, d, sim) of a file that holds one JSON list of [q, d, sim] lists; of repeated pairs the last holds."""
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("i", "x"))
+    return whole.groupBy(F.col("x")[0].alias("q"), F.col("x")[1].alias("d")).agg(F.max_by(F.col("x")[2].cast("double"), "i").alias("sim"))
+
+
 def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
     for k, v in options.items():

@@ -20,6 +20,25 @@ def store_table(df: DataFrame, root: str, name: str) -> None:
     df.toDF(*(clean_column_name(c) for c in df.columns)).write.mode("overwrite").parquet(f"{root}/{name}")
 
 
+def store_variable(df: DataFrame, lineage: DataFrame | None, root: str, name: str) -> None:
+    """A variable's table, its lineage (rows of lineage, those of view name), and a mark in indexed that it is stored, in this order."""
+    store_table(df, f"{root}/tables", name)
+    if lineage is not None:
+        store_lineage(lineage.where(F.col("view_id") == name), f"{root}/lineage")
+    append_new(df.sparkSession.createDataFrame([(name,)], "table_name string"), f"{root}/indexed", ["table_name"])
+
+
+def store_variables(tables: dict[str, DataFrame], lineage: DataFrame | None, root: str) -> dict[str, str]:
+    """store_variable() of each; what went wrong with those that could not be stored."""
+    failed = {}
+    for name, df in tables.items():
+        try:
+            store_variable(df, lineage, root, name)
+        except Exception as e:  # a table that can't be written must not stop the others
+            failed[name] = f"{type(e).__name__}: {str(e).splitlines()[0][:200]}"
+    return failed
+
+
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
     """Rows whose keys aren't stored yet, each key once."""
     spark = df.sparkSession
@@ -92,6 +111,21 @@ def store_schema_index(index: DataFrame, values: DataFrame, root: str) -> None:
     values.write.mode("overwrite").parquet(f"{root}/schema_values")
 
 
+def load_schema_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{root}/schema_index"), spark.read.parquet(f"{root}/schema_values")
+
+
+def build_index(values: DataFrame, root: str, stars: DataFrame | None = None, *, columns: int = 5, rows: int = 1000) -> None:
+    """Materialise what table search starts from: the schema index, sketches of the groups' and the tables' columns, and star graphs."""
+    from ..operators import profile
+
+    store_schema_index(profile.schema_index(values), profile.schema_values(values), root)
+    profile.sketch(values, columns=columns, rows=rows).write.mode("overwrite").parquet(f"{root}/sketch")
+    profile.sketch_values(values, ["group_id"], rows).write.mode("overwrite").parquet(f"{root}/schema_sketch")
+    if stars is not None:
+        stars.write.mode("overwrite").parquet(f"{root}/stars")
+
+
 def store_similarities(pairs: DataFrame, path: str) -> None:
     """Lines of [q, d, sim]."""
     pairs.select(F.to_json(F.array("q", "d", F.col("sim").cast("string"))).alias("value")).write.mode("overwrite").text(path)
@@ -101,6 +135,11 @@ def store_ids(ids: dict[str, int], spark: SparkSession, path: str) -> None:
     spark.createDataFrame([(v, k) for k, v in ids.items()], "data_id long, table_name string").write.mode("overwrite").parquet(path)
 
 
+def load_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(data_id, table_name) as store_ids() wrote them."""
+    return spark.read.parquet(path)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

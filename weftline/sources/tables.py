@@ -34,6 +34,16 @@ def read_all(spark: SparkSession, paths: dict[str, tuple[str, int]], *, skip_ind
     return (long_tables(spark, good, skip_index=skip_index) if good else None), bad
 
 
+def one_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """A stored variable's table by its name; None if there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(f"{root}/{name}")
+    except AnalysisException:
+        return None
+
+
 def query_table(spark: SparkSession, csv_text: str) -> DataFrame:
     """A query's table from CSV text with a header; types are inferred."""
     import csv
