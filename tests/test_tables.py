@@ -282,3 +282,4 @@ def test_stars_without_a_common_label_count(spark):
     got = {r["b_id"]: r["distance"] for r in provenance.mapping_distance(s.where("graph_id = 'q'"), s).collect()}
     assert got == {"q": 0, "half": 1, "none": 4}
     assert provenance.nearest(s.where("graph_id = 'q'"), s, 3).count() == 3
+

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -14,3 +15,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(where or "/tmp/weftline-checkpoints")
     return df.checkpoint(eager=True)
+
+
+#: Rows that a side of a join may have to be broadcast; more are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has rows rows at most. df is a checkpoint, so that counting it costs little."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -37,10 +37,11 @@ def sketch(values: DataFrame, *, columns: int = SKETCH_COLUMNS, rows: int = SKET
 
 def schema_index(values: DataFrame) -> DataFrame:
     """(group_id, col, sid, dtype, n_tables, n_distinct) of the columns of each group of tables; sid numbers columns by first position and name."""
-    # each different value once, combined before the shuffle; tables are counted in a pass of their own that reads no value
-    once = values.groupBy("group_id", "col", "value").agg(F.min(F.struct("table_name", "col_pos", "dtype")).alias("first"))
-    own = once.groupBy("group_id", "col").agg(F.count("value").alias("n_distinct"), F.min("first").alias("first"))
-    tables = values.groupBy("group_id", "col", "table_name").agg(F.count("*")).groupBy("group_id", "col").agg(F.count("*").alias("n_tables"))
+    # each different value once, combined before the shuffle; the tables are counted without the values, which are then not read
+    once = values.groupBy("group_id", "col", "value").agg(F.count("*"))
+    own = once.groupBy("group_id", "col").agg(F.count("value").alias("n_distinct"))
+    tables = values.select("group_id", "col", "table_name", "col_pos", "dtype").distinct()
+    tables = tables.groupBy("group_id", "col").agg(F.count_distinct("table_name").alias("n_tables"), F.min(F.struct("table_name", "col_pos", "dtype")).alias("first"))
     both = own.join(tables, ["group_id", "col"]).withColumn("sid", F.row_number().over(Window.partitionBy("group_id").orderBy("first.table_name", "first.col_pos", "col")))
     return both.select("group_id", "col", F.col("first.dtype").alias("dtype"), "n_tables", "n_distinct", "sid")
 
