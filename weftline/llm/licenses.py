@@ -9,8 +9,11 @@ subsequence), and what covers enough of the template is reported with its
 coverage and its span of words.
 
 Defined cases: null and empty texts have no matches; each place where a template
-matches is a row; rows that repeat are scanned each; a template of fewer than
-three words is refused.
+matches is a row, also where several templates cover one place (their coverages
+tell them apart); of equally good alignments the one that ends first is reported;
+rows that repeat are scanned each; a very long text is scanned whole, in memory of
+some 50 times its bytes; an empty table gives no row; other columns, whatever
+their names, are not read; a template of fewer than three words is refused.
 """
 
 from __future__ import annotations
@@ -104,28 +107,36 @@ class Index:
             at = to
 
     def _align(self, words, t, start, band, low, high):
-        """Matched words, first and last matched position, of the best alignment in the band."""
-        template = self.words[t]
-        a, b = max(low, start - band), min(high, start + len(template) + band)
-        text = words[a:b]
-        if not len(text):
+        """Matched words, first and last matched position, of the best alignment in the band.
+
+        Row i holds the best counts up to the template's i-th word, for the 2 * band + 1
+        words around the diagonal only: column k is the word at start + i + k - band.
+        """
+        template, width = self.words[t], 2 * band + 1
+        n = len(template)
+        text = np.zeros(n + 2 * band, _U)  # the words from start - band on; those outside the document match nothing
+        inside = np.zeros(len(text), bool)
+        a, b = max(low, start - band), min(high, start - band + len(text))
+        if a >= b:
             return None
-        column = np.arange(len(text)) + a - start
-        best = np.zeros((len(template) + 1, len(text) + 1), np.int32)
+        text[a - (start - band) : b - (start - band)] = words[a:b]
+        inside[a - (start - band) : b - (start - band)] = True
+        best = np.zeros((n + 1, width + 1), np.int32)  # the last column is never a cell
         for i, w in enumerate(template):
-            equal = (text == w) & (np.abs(column - i) <= band)
-            np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + equal), out=best[i + 1, 1:])
-        i, j, first, last = len(template), len(text), None, None
-        while i and j:
-            if best[i, j] == best[i, j - 1]:
-                j -= 1
-            elif best[i, j] == best[i - 1, j]:
-                i -= 1
+            equal = (text[i : i + width] == w) & inside[i : i + width]
+            # best[i] at k: up to the word before column k of row i + 1; at k + 1: with that word
+            np.maximum.accumulate(np.maximum(best[i, :-1] + equal, best[i, 1:]), out=best[i + 1, :-1])
+        i, k, first, last = n, width - 1, None, None
+        while i and best[i, k]:
+            if k and best[i, k] == best[i, k - 1]:
+                k -= 1
+            elif best[i, k] == best[i - 1, k + 1]:
+                i, k = i - 1, k + 1
             else:
-                i, j = i - 1, j - 1
-                first = a + j
+                i -= 1
+                first = start + i + k - band
                 last = first if last is None else last
-        return (int(best[-1, -1]), first, last) if last is not None else None
+        return (int(best[n, width - 1]), first, last) if last is not None else None
 
 
 def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", least_prints: float = 0.3, least_coverage: float = 0.8) -> DataFrame:
