@@ -113,3 +113,10 @@ def test_variables_table_function(spark):
     dependencies.register(spark)
     spark.createDataFrame([(CODE,)], "code string").createOrReplaceTempView("src")
     assert {r["var"] for r in spark.sql("SELECT v.var FROM src, LATERAL code_variables(src.code) v").collect()} == {"df", "x", "y", "z"}
+
+
+def test_assignments_in_functions_do_not_count():
+    from weftline.functions.dependencies import assignments
+
+    code = "def f(x):\n    y = x + 1\n    return y\nfor i in z:\n    a = f(i)\nclass C:\n    k = 1\nif a:\n    b = a"
+    assert [(line, left) for line, left, _ in assignments(code)] == [(5, ["a"]), (9, ["b"])]

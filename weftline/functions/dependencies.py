@@ -126,14 +126,22 @@ def _writes(target: ast.AST):
         yield from _writes(target.value)
 
 
+def _top_level(node: ast.AST):
+    """All nodes that don't belong to the body of a function or class."""
+    for x in ast.iter_child_nodes(node):
+        if not isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)):
+            yield x
+            yield from _top_level(x)
+
+
 def assignments(code: str) -> list[tuple[int, list[str], list[tuple[str, str]]]]:
-    """(line, variables assigned, [(variable read, operation)]) of each assignment, in line order."""
+    """(line, variables assigned, [(variable read, operation)]) of each assignment outside of functions and classes, in line order."""
     try:
         tree = ast.parse(clean(code))
     except (SyntaxError, ValueError, RecursionError):
         return []
     out = []
-    for node in ast.walk(tree):
+    for node in _top_level(tree):
         if isinstance(node, ast.Assign):
             targets, value = node.targets, node.value
         elif isinstance(node, (ast.AugAssign, ast.AnnAssign)) and node.value is not None:

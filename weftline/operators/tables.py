@@ -47,17 +47,20 @@ def row_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
 def row_string_similarity(a: DataFrame, b: DataFrame, key: str, columns: list[str], *, n: int | None = None) -> DataFrame:
     """One row: over the keys that a and b share (the n smallest of them where n is given), the mean of the mean Jaccard of their rows' value sets.
 
-    a and b carry the key and the mapped columns under one name each. Sums and
-    counts are kept by key, so a key with many rows is combined before it moves.
+    a and b carry the key and the mapped columns under one name each. Equal value
+    sets of a key are counted first, so a key of many rows gives as many pairs as
+    it has different rows, each weighted by its counts.
     """
 
     def rows(x, name):
-        return x.where(F.col(key).isNotNull()).select(key, F.array_distinct(F.filter(F.array(*(F.col(c).cast("string") for c in columns)), lambda v: v.isNotNull())).alias(name))
+        values = F.array_sort(F.array_distinct(F.filter(F.array(*(F.col(c).cast("string") for c in columns)), lambda v: v.isNotNull())))
+        return x.where(F.col(key).isNotNull()).groupBy(key, values.alias(name)).agg(F.count("*").alias(f"n_{name}"))
 
     both = F.size(F.array_intersect("x", "y"))
     sim = F.coalesce(both / (F.size("x") + F.size("y") - both), F.lit(0.0))
     pairs = rows(a, "x").join(rows(b, "y"), key)
-    by_key = pairs.groupBy(key).agg(F.avg(sim).alias("s"))
+    weight = F.col("n_x") * F.col("n_y")
+    by_key = pairs.groupBy(key).agg((F.sum(sim * weight) / F.sum(weight)).alias("s"))
     if n is not None:
         by_key = by_key.orderBy(key).limit(n)
     return by_key.agg(F.avg("s").alias("sim"), F.count("*").alias("n_keys"))

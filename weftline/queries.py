@@ -197,7 +197,12 @@ def _name_pairs(spark, d):
     return n.toDF("a", "a_name", "r").join(n.toDF("b", "b_name", "r"), "r").where("a < b")
 
 
-@q()
+@q(
+    """WITH RECURSIVE p AS (SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey),
+g AS (SELECT x, y, 0 AS i, list_transform(range(0, length(y) + 1), lambda k: 0::BIGINT) AS r FROM p UNION ALL
+SELECT x, y, i, list_transform(range(0, length(y) + 1), lambda j: list_max(list_transform(range(0, j + 1), lambda t: base[t + 1] - (j - t)))) AS r FROM (SELECT x, y, i + 1 AS i, list_transform(range(0, length(y) + 1), lambda j: CASE WHEN j = 0 THEN 0::BIGINT ELSE greatest(0, r[j] + CASE WHEN substr(y, j, 1) = substr(x, i + 1, 1) THEN 1 ELSE -1 END, r[j + 1] - 1) END) AS base FROM g WHERE i < length(x)))
+SELECT x AS a_name, y AS b_name, r[length(y) + 1]::DOUBLE / least(length(x), length(y)) AS sim FROM g WHERE i = length(x)"""
+)
 def suffix_alignment_pairs(spark, d):
     return _name_pairs(spark, d).select("a_name", "b_name", align.suffix_similarity("a_name", "b_name").alias("sim"))
 
@@ -933,10 +938,15 @@ def dtype_counts(spark, d):
     return profile.dtype_counts(values(spark, d))
 
 
-@q(f"WITH u AS (SELECT DISTINCT table_name, col, value FROM ({long_sql()}) WHERE value IS NOT NULL) SELECT table_name, col, least(count(*), 1000)::BIGINT AS n FROM u GROUP BY ALL")
+def sketch_sql(names=tuple(TPC)) -> str:
+    """At most a thousand values of each column, those of the smallest md5."""
+    return f"SELECT table_name, col, dtype, value FROM (SELECT DISTINCT table_name, col, dtype, value FROM ({long_sql(names)}) WHERE value IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY table_name, col ORDER BY md5(value), value) <= 1000"
+
+
+@q(sketch_sql())
 def sketch_values(spark, d):
-    """How many values the sketch of each column has; a thousand is the feature."""
-    return profile.sketch_values(values(spark, d), ["table_name"]).groupBy("table_name", "col").agg(F.count("*").alias("n"))
+    """The sketch of each column; a thousand values is the feature."""
+    return profile.sketch_values(values(spark, d), ["table_name"])
 
 
 @q(
@@ -950,11 +960,16 @@ def mapping_by_schema(spark, d):
     return got.select("a_table_name", "b_table_name", "a_col", "b_col")
 
 
-@q()
+@q(
+    f"""{ALL_PAIRS.replace("FROM s WHERE ta <> tb)", "FROM s WHERE ta < tb)")}, k AS ({sketch_sql()}), nk AS (SELECT table_name, col, count(*) AS n FROM k GROUP BY ALL),
+kp AS (SELECT x.table_name AS ga, y.table_name AS gb, x.col AS l, y.col AS r, count(*) AS inter FROM k x JOIN k y ON x.dtype = y.dtype AND x.value = y.value WHERE x.table_name < y.table_name GROUP BY ALL),
+ks AS (SELECT ga, gb, l, r, inter::DOUBLE / (a.n + b.n - inter) AS s FROM kp JOIN nk a ON a.table_name = ga AND a.col = l JOIN nk b ON b.table_name = gb AND b.col = r),
+u AS (SELECT ga, gb, l, r, max(s) AS s FROM (SELECT * FROM p0 UNION ALL SELECT * FROM ks) GROUP BY ALL), {greedy_sql('m', 'u', 0.3)} SELECT ga AS a_table_name, gb AS b_table_name, l AS a_col, r AS b_col, s AS sim FROM m"""
+)
 def join_mapping(spark, d):
-    v = values(spark, d, DIMENSIONS)
-    sketched = mapping.column_pairs(profile.sketch_values(v, ["table_name"]), profile.sketch_values(v, ["table_name"]))
-    return mapping.join_mapping(sketched, mapping.column_pairs(v, v)).where("a_table_name < b_table_name")
+    v = values(spark, d)
+    k = profile.sketch_values(v, ["table_name"])
+    return mapping.join_mapping(mapping.column_pairs(k, k), mapping.column_pairs(v, v)).where("a_table_name < b_table_name")
 
 
 SIMILAR = f"{parts_sql(False, 0.9)}, hits AS ({ranked_sql(f'0.1 * {COL_SCORE} + 0.9 * row_sim', 'n_mapped')})"
