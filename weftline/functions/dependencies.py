@@ -231,7 +231,16 @@ class LineageStars:
                 yield node, label
 
 
+@udtf(returnType="n int, statement string")
+class Statements:
+    """The numbered statements of a text of code."""
+
+    def eval(self, code: str):
+        yield from enumerate(statements(code), 1)
+
+
 def register(spark) -> None:
+    spark.udtf.register("code_statements", Statements)
     spark.udtf.register("code_reads", Reads)
     spark.udtf.register("lineage_stars", LineageStars)
     spark.udtf.register("code_assignments", Assignments)
