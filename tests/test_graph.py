@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.model import ANY, CELL, ONE, OUTPUT, SHAPES, VAR, Query, SearchConfig, node_score, query, shaped
+from weftline.model import ANY, CELL, ONE, OUTPUT, SHAPES, VAR, Query, QueryNode, SearchConfig, node_score, query, shaped
 from weftline.operators import graph_stats, match, reach, scale, score
 from weftline.plans import search
 
@@ -230,3 +230,13 @@ def test_nodes_below_roots(graph):
     roots = n.where("node = 'c2'").select("nb_name", "node")
     got = {r["node"]: r["number"] for r in reach.from_roots(n, reach.closure(e), roots).collect()}
     assert got == {"c2": 1, "c3": 2, "d3": 3, "v1": 4}
+
+
+def test_a_wildcard_root_starts_anywhere(graph):
+    q = Query((QueryNode("a", ANY), QueryNode("c", CELL)), (("a", "c"),))
+    got = {(r["a"], r["c"]) for r in match.find(*graph, q, prefilter=False, wildcard_root=True).collect()}
+    assert got == {("c1", "c2"), ("c1", "c3"), ("c2", "c3")}
+    one = Query((QueryNode("a", ONE), QueryNode("o", OUTPUT)), (("a", "o"),))
+    assert {(r["a"], r["o"]) for r in match.find(*graph, one, prefilter=False, wildcard_root=True).collect()} == {("c1", "d1"), ("c1", "d2"), ("c3", "d3")}
+    with pytest.raises(ValueError, match="wildcard"):
+        match.find(*graph, q)

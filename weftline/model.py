@@ -59,14 +59,14 @@ class Query:
             raise ValueError(f"a query has one root; this one has {roots}")
         return roots[0]
 
-    def validate(self) -> Query:
+    def validate(self, wildcard_root: bool = False) -> Query:
         names = [n.name for n in self.nodes]
         if len(set(names)) != len(names):
             raise ValueError("query node names must differ")
         for a, b in self.edges:
             if a not in names or b not in names:
                 raise ValueError(f"edge {a}->{b} has an unknown node")
-        if self.node(self.root).label in (ANY, ONE):
+        if not wildcard_root and self.node(self.root).label in (ANY, ONE):
             raise ValueError("the root of a query can't be a wildcard")
         seen, todo = set(), [self.root]
         while todo:
@@ -96,6 +96,15 @@ class Query:
     def without_edge(self, a: str, b: str) -> Query:
         return replace(self, edges=tuple(e for e in self.edges if e != (a, b)))
 
+    def from_anywhere(self) -> Query:
+        """The query with a root of AnyWildcard taken for any node, from which the rest is reached."""
+        root = self.node(self.root)
+        if root.label != ANY:
+            return self
+        far = QueryNode(f"{root.name}__far", ANY)
+        nodes = tuple(replace(n, label=ONE) if n == root else n for n in self.nodes)
+        return replace(self, nodes=(*nodes, far), edges=((root.name, far.name), *((far.name if a == root.name else a, b) for a, b in self.edges)))
+
     def joined_code(self) -> str:
         """The cells' code in depth-first order from the root, one text."""
         order, todo = [], [self.root]

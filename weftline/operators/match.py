@@ -48,9 +48,13 @@ def _plan(q: Query) -> tuple[list[tuple[str, str, bool]], list[str]]:
     return out, bound
 
 
-def find(nodes: DataFrame, edges: DataFrame, q: Query, *, reach: DataFrame | None = None, prefilter: bool = True, injective: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(nb_name, one column a bound query node[, <query node>__<column> for each node column to carry])."""
-    q.validate()
+def find(nodes: DataFrame, edges: DataFrame, q: Query, *, reach: DataFrame | None = None, prefilter: bool = True, injective: bool = False, wildcard_root: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(nb_name, one column a bound query node[, <query node>__<column> for each node column to carry]).
+
+    wildcard_root: a wildcard may be the root; it starts from every node.
+    """
+    q.validate(wildcard_root)
+    q = q.from_anywhere()
     steps, bound = _plan(q)
     if prefilter:
         keep = graph_stats.structure_filter(graph_stats.workflow_stats(nodes, edges), q).select("nb_name")

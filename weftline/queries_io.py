@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from .checkpoints import shared_folder
 from .functions import dependencies, text
-from .model import CELL, OUTPUT, SearchConfig, query
-from .operators import graph_stats, mapping, profile
+from .model import ANY, CELL, OUTPUT, VAR, Query, QueryNode, SearchConfig, query
+from .operators import graph_stats, mapping, match, profile, setbased
 from .operators.columns import long_form
 from .plans import search
-from .queries import CHAIN, CHAIN_T, GROUPS, N, PROGRAM_OK, PROGRAMS, SQL, TPC, E, _data_sim, _match_sql, _pairs_sql, _programs, conv_edges, conv_nodes, events_libraries, jaccard_sql, long_sql, q, quoted, table, tokens_sql, values
+from .queries import CHAIN, CHAIN_T, COL_SCORE, GROUPS, GROUPS_SQL, N, PROGRAM_OK, PROGRAMS, SQL, E, _data_sim, _match_sql, _pairs_sql, _programs, conv_edges, conv_nodes, events_libraries, jaccard_sql, long_sql, output_type_overlap, parts_sql, q, quoted, table, table_assignment, tokens_sql, values, whole_code_jaccard, library_jaccard
 from .sources import graph, sinks, tables
 from .streaming.ingest import ingest
 
@@ -246,3 +246,33 @@ def notebook_links(spark, d):
 def table_sketch(spark, d):
     """Of each table three columns, and of each fifty values: both numbers are the feature."""
     return profile.sketch(values(spark, d), columns=3, rows=50).select("table_name", "col", "value")
+
+
+FROM_ANYWHERE = Query((QueryNode("a", ANY), QueryNode("c", CELL), QueryNode("v", VAR)), (("a", "c"), ("c", "v")))
+
+
+@q(f"WITH RECURSIVE {N}, {E()}, r AS (SELECT nb, src, dst FROM e UNION SELECT r.nb, r.src, e.dst FROM r JOIN e ON e.nb = r.nb AND e.src = r.dst) SELECT r.nb AS nb_name, r.src AS a, e.src AS c, e.dst AS v FROM r JOIN e ON e.nb = r.nb AND e.src = r.dst WHERE e.src_label = 'Cell' AND e.dst_label = 'Var'")
+def match_wildcard_root(spark, d):
+    """A wildcard as the root starts from every node."""
+    return match.find(conv_nodes(spark, d), conv_edges(spark, d), FROM_ANYWHERE, prefilter=False, wildcard_root=True).select("nb_name", "a", "c", "v")
+
+
+@q(
+    f"""SELECT nb_name, round(0.0 + coalesce(lib_sim, 0) * 1.0 + coalesce(overlap, 0) * 0.5 + coalesce(code_sim, 0) * 2.0 + coalesce(data_sim, 0) * 1.5, 6) AS score
+FROM ({SQL['library_jaccard']}) FULL JOIN ({SQL['output_type_overlap']}) USING (nb_name) FULL JOIN ({SQL['whole_code_jaccard']}) USING (nb_name) FULL JOIN ({SQL['table_assignment']}) USING (nb_name)"""
+)
+def set_based_with_data(spark, d):
+    """The set-based baseline with all four parts."""
+    parts = {"lib": (library_jaccard(spark, d), "lib_sim", 1.0), "out": (output_type_overlap(spark, d), "overlap", 0.5), "code": (whole_code_jaccard(spark, d), "code_sim", 2.0), "data": (table_assignment(spark, d), "data_sim", 1.5)}
+    return setbased.combined(parts).select("nb_name", F.round("score", 6).alias("score"))
+
+
+@q(f"{parts_sql(False, 0.9)}, {GROUPS_SQL}, hits AS (SELECT b_table_name, 0.1 * {COL_SCORE} + 0.9 * row_sim AS score FROM best) SELECT 'g' || group_id AS nb_name, round(max(score), 6) AS data_sim FROM hits JOIN gr ON table_name = b_table_name GROUP BY group_id")
+def table_assignment_search(spark, d):
+    """The set-based data part by table search, a hit's score for all tables of its group; notebooks are the groups."""
+    from .plans.data_similarity import table_pairs
+
+    groups = spark.createDataFrame(list(GROUPS.items()), "table_name string, group_id int")
+    found = table_pairs(values(spark, d, ("supplier",)), values(spark, d), how="groups", groups=groups)
+    pairs = found.join(groups.withColumnRenamed("table_name", "b_table_name"), "b_table_name").select(F.concat(F.lit("g"), F.col("group_id").cast("string")).alias("nb_name"), F.col("a_table_name").alias("q"), F.col("b_table_name").alias("d"), "sim")
+    return setbased.table_assignment(pairs, 1).select("nb_name", F.round("data_sim", 6).alias("data_sim"))
