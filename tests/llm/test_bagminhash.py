@@ -92,3 +92,43 @@ def test_classes_in_small_blocks(spark, monkeypatch):
 
 def test_empty(spark):
     assert B.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_string_ids_and_clashing_columns(spark):
+    docs = [(f"d{d:04}", t) for d, t in corpus() if d is not None]
+    rows = [(d, t, "x", "y", 1, None) for d, t in docs]
+    df = spark.createDataFrame(rows, "doc_id string, text string, h string, v string, keys int, class_id string")
+    got = {r["doc_id"]: r["class_id"] for r in B.near_duplicates(df).collect()}
+    assert got == brute(docs)
+    left = B.without_near_duplicates(df)
+    assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {c for d, c in got.items() if d == c}
+
+
+def test_rows_that_share_an_id(spark):
+    r = random.Random(2)
+    a, b, c = (" ".join(r.choice("abcdefgh") * r.randint(1, 5) for _ in range(60)) for _ in range(3))
+    near = b + " tail"
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, near), (9, c), (9, c), (9, a)]
+    got = sorted((x["doc_id"], x["class_id"]) for x in B.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (5, 1), (5, 5), (5, 5), (7, 5), (9, 1), (9, 9), (9, 9)]
+    left = sorted((x["doc_id"], x["text"]) for x in B.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert left == sorted([(1, a), (5, b), (9, c)])
+
+
+def test_long_texts(spark):
+    r = random.Random(4)
+    words = [r.choice("abcdefghij") * r.randint(1, 4) for _ in range(150_000)]
+    other = list(words)
+    other[70_000] = "edit"
+    df = spark.createDataFrame([(2, " ".join(words)), (1, " ".join(other)), (3, " ".join(reversed(words)))], "doc_id long, text string")
+    assert sorted((x["doc_id"], x["class_id"]) for x in B.near_duplicates(df).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_wide_ranges_are_split():
+    """Counts of any size: agreement of two signatures is the weighted Jaccard similarity."""
+    r = np.random.default_rng(7)
+    items = r.integers(1, 2**63, 40).astype(np.uint64)
+    for a, b in ((r.integers(1, 500, 40), r.integers(1, 500, 40)), (np.full(40, 64), np.full(40, 33)), (np.full(40, 1000), np.full(40, 999))):
+        low = B.signatures(np.repeat([0, 1], 40), np.concatenate([items, items]), np.concatenate([a, b]), 2, 4096)
+        want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+        assert abs((low[0] == low[1]).mean() - want) < 4.5 * np.sqrt(want * (1 - want) / 4096 + 1e-6)

@@ -104,3 +104,17 @@ def test_remove_in_shards_equals_brute_force(spark):
     assert got.columns == ["doc_id", "text"]
     assert {r["doc_id"]: r["text"] for r in got.collect()} == want
     assert {r["doc_id"]: r["text"] for r in D.decontaminate(df, spark.createDataFrame(items, "item_id long, text string")).collect()} == want
+
+
+def test_long_text_and_clashing_columns(spark):
+    long = "pp qq " * 50_000 + ITEM + " rr" * 50_000
+    rows = [(1, long, "x", "y", "z", "w"), (1, long, "x", "y", "z", "w"), (2, None, None, "y", "z", "w"), (3, "aa bb " * 20 + ITEM[6:] + " nu", "x", "y", "z", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _k string, _hits string, k string, spans string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for shard_words in (D.SHARD_WORDS, 20):
+        got = D.decontaminate(docs, items, shard_words=shard_words)
+        assert got.columns == docs.columns
+        texts = sorted((str(r["doc_id"]), (r["text"] or "").replace(" ", "")[:12], len(r["text"] or "")) for r in got.collect())
+        assert texts == sorted([("1", "ppqqppqqppqq", len(long) - len(ITEM)), ("1", "ppqqppqqppqq", len(long) - len(ITEM)), ("2", "", 0), ("3", "aabbaabbaabb", 120)])
+        found = sorted(map(tuple, D.digest(D.scan(docs, items, shard_words=shard_words)).collect()), key=str)
+        assert found == brute([(r[0], r[1]) for r in rows], ITEMS)

@@ -54,3 +54,12 @@ def test_texts_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d e f g h i j k l m n"), (2, "x a b c d e f g h i j k l m y")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in S.deduplicated(S.removals(df)).collect()} == {1: "a b c d e f g h i j k l m n", 2: "x y"}
     assert S.digest(S.removals(df.limit(0))).count() == 0
+
+
+def test_long_text_and_clashing_columns(spark):
+    r = random.Random(9)
+    words = [r.choice("abcdefghij") * r.randint(1, 6) for _ in range(60_000)]
+    docs = [(1, " ".join(words)), (2, "x " + " ".join(words[20_000:50_000]) + " y"), (3, " ".join(words[10:22])), (4, "\t".join(words[30:60]))]
+    rows = [(d, t, "z", 1, None, "q") for d, t in docs]
+    df = spark.createDataFrame(rows, "doc_id long, text string, a string, s int, d string, gone string")
+    assert sorted(map(tuple, S.digest(S.removals(df)).collect()), key=str) == brute(docs)

@@ -9,8 +9,9 @@ item, are skipped without changing a result: the automaton would be at its root.
 
 Defined cases: null or empty text has no words and no hits; a null item text is
 no item; a null item id counts as the id ''; repeated rows are handled each on
-its own; an empty items table hits nothing; further columns are kept by
-decontaminate() and ignored by scan().
+its own; a very long text is scanned whole, in memory of some 30 times its bytes;
+an empty items table hits nothing, an empty document table gives no row; further
+columns, whatever their names, are kept by decontaminate() and ignored by scan().
 """
 
 from __future__ import annotations
