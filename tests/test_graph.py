@@ -170,6 +170,34 @@ def test_similarities_are_computed_once_a_content(spark, monkeypatch):
     assert compared == [{"t", "w"}, {"z"}]
 
 
+def test_content_is_only_read_of_tables_that_may_be_equal(spark, monkeypatch):
+    from weftline.operators import profile
+    from weftline.plans import data_similarity as D
+
+    long = "table_name string, group_id int, col string, col_pos int, dtype string, row_id long, value string"
+    cells = lambda name, *vals, dtype="object": [(name, 1, "a", 0, dtype, i, v) for i, v in enumerate(vals)]
+    query_ = spark.createDataFrame(cells("q", "x", "y"), long)
+    # t and u are equal, n differs in its dtype and e in a value; s has another length, i.e. no equal
+    values = spark.createDataFrame(cells("t", "x", None) + cells("u", None, "x") + cells("n", "x", None, dtype="int64") + cells("e", "x", "") + cells("s", "x", "y", "z"), long)
+    variables = spark.createDataFrame([(f"v_{t}", t) for t in "tunes"], "d string, table_name string")
+    hashed, real = [], profile.content_ids
+    monkeypatch.setattr(profile, "content_ids", lambda v: hashed.append({r["table_name"] for r in v.select("table_name").distinct().collect()}) or real(v))
+    pairs, cache = D.pair_similarity(query_, values, variables)
+    assert hashed[0] == {"t", "u", "n", "e"}
+    assert {r["d"]: r["sim"] for r in pairs.collect()} == pytest.approx({"v_t": 1 / 2, "v_u": 1 / 2, "v_n": 0.0, "v_e": 1 / 3, "v_s": 2 / 3})
+    assert cache.select("data_id").distinct().count() == cache.count() == 4
+    again, _ = D.pair_similarity(query_, values, variables, cache=cache)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_content_ids_gather_no_cells(spark):
+    from weftline.operators import columns, profile
+
+    v = columns.long_form(spark.range(20).select("id", F.col("id").cast("string").alias("s")), "t", 1)
+    plan = profile.content_ids(v)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan
+
+
 def test_workflows_below_roots_and_summary(graph, spark):
     n, e = graph
     got = {r["root"]: (r["n_cell"], r["n_var"], r["n_output"]) for r in graph_stats.root_workflow_stats(n, e, reach.closure(e)).collect()}
