@@ -284,6 +284,29 @@ def test_stars_without_a_common_label_count(spark):
     assert provenance.nearest(s.where("graph_id = 'q'"), s, 3).count() == 3
 
 
+def test_nearest_compares_shapes(spark, monkeypatch):
+    import random
+
+    from weftline.operators import score
+
+    r = random.Random(5)
+    rows = []
+    for g in range(60):
+        # names of 9, 10, 100 nodes sort as text; every third graph has the labels of another one under other names
+        seed, names = random.Random(g % 20), (["9", "10", "100", "8"] if g % 3 else ["a", "b", "c", "d"])
+        for n in names[: seed.randint(1, 4)]:
+            rows += [(str(g), f"{g}:{n}", seed.choice(["+a", "+b", "-c", None])) for _ in range(seed.randint(1, 3))]
+    r.shuffle(rows)
+    s = spark.createDataFrame(rows, "graph_id string, node string, label string")
+    a = s.where("graph_id % 5 = 0")
+    want = score.top_k_per(provenance.mapping_distance(a, s), ["a_id"], 3, [F.asc("distance"), F.asc("b_id")]).select("a_id", "b_id", "distance", "rank").collect()
+    compared, real = [], provenance.mapping_distance
+    monkeypatch.setattr(provenance, "mapping_distance", lambda x, y: compared.append(y.select("graph_id").distinct().count()) or real(x, y))
+    got = provenance.nearest(a, s, 3).collect()
+    assert len(got) == 36 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert compared[0] <= 40
+
+
 def test_hit_list(spark):
     import json
 
